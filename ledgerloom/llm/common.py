@@ -65,3 +65,16 @@ def ceil_div(a: int, b: int) -> int:
 
 def clamp(x: float, low: int, high: int) -> int:
     return int(max(low, min(high, math.ceil(x))))
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (they are counted up to there); else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def dropped(spark: SparkSession, name: str) -> None:
+    """Removes a table of the catalogue that ``shared_dir`` holds, and its files."""
+    path = os.path.join(shared_dir(spark), name)
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, secrets, sharding
+from . import decontamination, mixing, ngram_join, quality_rules, secrets, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_mixing": mixing.query,
+    "op4_ngram_join": ngram_join.query,
+    "op5_decontamination": decontamination.query,
     "op8_secrets": secrets.query,
     "op10_quality_rules": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": ngram_join.ORACLE_SQL}

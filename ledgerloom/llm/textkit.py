@@ -13,6 +13,10 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: True for bytes that are neither ASCII letters or digits nor part of a longer character.
+NOT_WORD = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
+#: True for bytes that are no ASCII symbol.
+NOT_SYMBOL = ~NOT_WORD | np.array([b < 33 or b == 127 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PIECE = 1 << 20
@@ -63,33 +67,34 @@ def rows_by_size(offsets: np.ndarray, limit: int = _PIECE) -> Iterator[tuple[int
         low = min(high, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (in ``data``) and 64-bit hash of each word, in order; words end where their row ends."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (in ``data``) and 64-bit hash of each word, in order; words end where their row ends.
+    ``space``: for each byte, whether it separates words."""
     starts, ends, hashes = [], [], []
     at, n = 0, len(data)
     while at < n:
         to = min(n, at + _PIECE)
-        if to < n:  # go back to white space or a row's end; if there is none, go on to the next
-            gap = np.flatnonzero(_SPACE[data[at:to]])
+        if to < n:  # go back to a gap or a row's end; if there is none, go on to the next
+            gap = np.flatnonzero(space[data[at:to]])
             row = int(offsets[np.searchsorted(offsets, to, "right") - 1])
             back = max(row, at + int(gap[-1]) + 1 if len(gap) else at)
             if back > at:
                 to = back
             else:
                 row = int(offsets[np.searchsorted(offsets, to, "left")])
-                while to < row and not _SPACE[data[to - 1]]:
+                while to < row and not space[data[to - 1]]:
                     step = data[to : min(row, to + _PIECE)]
-                    gap = np.flatnonzero(_SPACE[step])
+                    gap = np.flatnonzero(space[step])
                     to += int(gap[0]) + 1 if len(gap) else len(step)
         piece = data[at:to]
-        space = _SPACE[piece]
+        gaps = space[piece]
         edge = np.zeros(len(piece) + 1, bool)
         inner = offsets[np.searchsorted(offsets, at, "left") : np.searchsorted(offsets, to, "right")] - at
         edge[inner] = True
         before = np.ones(len(piece) + 1, bool)
-        before[1:] = space
+        before[1:] = gaps
         after = np.ones(len(piece) + 1, bool)
-        after[:-1] = space
+        after[:-1] = gaps
         s = np.flatnonzero(~after & (before | edge))
         e = np.flatnonzero(~before & (after | edge))
         starts.append(s + at)
