@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, ngram_join, quality_rules, secrets, sharding, suffix_dedup
+from . import decontamination, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
@@ -14,7 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.query,
     "op4_ngram_join": ngram_join.query,
     "op5_decontamination": decontamination.query,
+    "op6_toxicity": toxicity.query,
+    "op7_quality_classifier": quality_classifier.query,
     "op8_secrets": secrets.query,
+    "op9_token_counts": token_counts.query,
     "op10_quality_rules": quality_rules.query,
 }
 

@@ -77,3 +77,10 @@ def test_odd(spark, odd, none):
     got = d.apply(odd, bench).collect()
     assert sorted(str((r["doc_id"], r["item_id"])) for r in got) == ["(6, 1)", "(7, 1)", "(None, None)"]
     assert d.apply(none, bench).count() == 0 == d.apply(odd, bench.limit(0)).count()
+
+
+def test_stage_with_odd_rows(spark, odd, none, tmp_path):
+    spark.createDataFrame([(1, "same words here again and again same")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = d.stage(spark, odd, str(tmp_path))
+    assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(r["doc_id"]) for r in odd.collect() if r["doc_id"] not in (6, 7))
+    assert d.stage(spark, none, str(tmp_path)).count() == 0
