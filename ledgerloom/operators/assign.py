@@ -13,76 +13,119 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, cut
 from .policy import Matching
 
+#: Edges that one task solves at a time, about.
+EDGES_A_BATCH = 20_000
 Solver = Callable[[np.ndarray], np.ndarray]
 
 
-def minimize(costs: np.ndarray) -> np.ndarray:
-    """The column of each row at the least total cost (rows <= columns): shortest augmenting paths with potentials."""
-    n, m = costs.shape
-    row_of = np.full(m, -1)
-    u, v = np.zeros(n, np.int64), np.zeros(m, np.int64)
-    for i in range(n):
-        dist, via, done = costs[i] - u[i] - v, np.full(m, i), np.zeros(m, bool)
-        base, path = dist.copy(), []
+class Paths:
+    """Shortest augmenting paths with potentials: rows are added one at a time, each at the least total cost."""
+
+    def __init__(self, costs: np.ndarray):
+        self.costs = costs
+        n, m = costs.shape
+        self.row_of, self.column_of = np.full(m, -1), np.full(n, -1)
+        self.u, self.v = np.zeros(n, np.int64), np.zeros(m, np.int64)
+
+    def add(self, i: int) -> None:
+        far = np.iinfo(np.int64).max
+        base, via = self.costs[i] - self.u[i] - self.v, np.full(len(self.v), i)
+        open_ = base.copy()  # distances of columns that are not settled
+        path = []
         while True:
-            j = int(np.where(done, np.iinfo(np.int64).max, base).argmin())
-            done[j] = True
+            j = int(open_.argmin())
             path.append(j)
-            if row_of[j] < 0:
+            k = self.row_of[j]
+            if k < 0:
                 break
-            k = row_of[j]
-            further = base[j] + costs[k] - u[k] - v
-            better = ~done & (further < base)
-            base[better], via[better] = further[better], k
-        far = base[path[-1]]
-        u[i] += far
+            open_[j] = far
+            further = base[j] + self.costs[k] - self.u[k] - self.v
+            better = (open_ != far) & (further < base)
+            base[better], open_[better], via[better] = further[better], further[better], k
+        end = base[path[-1]]
+        self.u[i] += end
         for j in path[:-1]:
-            u[row_of[j]] += far - base[j]
-            v[j] -= far - base[j]
+            self.u[self.row_of[j]] += end - base[j]
+            self.v[j] -= end - base[j]
         j = path[-1]
         while True:
             k = via[j]
-            back = int(np.flatnonzero(row_of == k)[0]) if k != i else -1
-            row_of[j] = k
+            before = self.column_of[k]
+            self.row_of[j], self.column_of[k] = k, j
             if k == i:
-                break
-            j = back
-    out = np.empty(n, np.int64)
-    out[row_of[row_of >= 0]] = np.flatnonzero(row_of >= 0)
-    return out
+                return
+            j = before
+
+    def loss(self, i: int, j: int) -> int:
+        """What the least total cost grows by if row i may not take its column j, and every column is taken: the shortest
+        way by which row i takes another column and some row takes j."""
+        far = np.iinfo(np.int64).max
+        base = self.costs[i] - self.u[i] - self.v
+        base[j] = far // 4
+        open_ = base.copy()
+        while (c := int(open_.argmin())) != j:
+            k = self.row_of[c]
+            further = base[c] + self.costs[k] - self.u[k] - self.v
+            open_[c] = far
+            better = (open_ != far) & (further < base)
+            base[better], open_[better] = further[better], further[better]
+        return int(base[j])
+
+
+def minimize(costs: np.ndarray) -> np.ndarray:
+    """The column of each row at the least total cost (rows <= columns)."""
+    paths = Paths(costs)
+    for i in range(len(costs)):
+        paths.add(i)
+    return paths.column_of
 
 
-def _best(gain: np.ndarray, solver: Solver) -> tuple[int, np.ndarray]:
-    """Most gain, and the column of each row (-1: unmatched). Entries of 0 are no edges."""
+def _costs(gain: np.ndarray) -> np.ndarray:
+    """Columns for the right records, then one for each row to stay unmatched at no cost. Entries of 0 are no edges."""
     n, m = gain.shape
     costs = np.zeros((n, m + n), np.int64)
     costs[:, :m] = np.where(gain > 0, -gain, n * 10_001 + 1)
-    to = solver(costs)
-    to = np.where((to < m) & (gain[np.arange(n), np.minimum(to, m - 1)] > 0), to, -1)
-    return int(gain[np.arange(n)[to >= 0], to[to >= 0]].sum()), to
+    return costs
+
 
+def _total(gain: np.ndarray, columns: np.ndarray) -> int:
+    rows = np.flatnonzero(columns < gain.shape[1])
+    return int(gain[rows, columns[rows]].sum())
 
-def solve(lefts: list, rights: list, scores: list[int], floor: int, solver: Solver = minimize) -> tuple[int, list[tuple]]:
-    """Objective and selected edges (left, right, objective without the edge)."""
+
+def solve(lefts: list, rights: list, scores: list[int], floor: int, solver: Solver | None = None) -> tuple[int, list[tuple]]:
+    """Objective and selected edges (left, right, objective without the edge). A ``solver`` of one's own is run anew for each."""
     rows, columns = sorted(set(lefts)), sorted(set(rights))
     at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(columns)}
     gain = np.zeros((len(rows), len(columns)), np.int64)
     for l, r, s in zip(lefts, rights, scores):
         gain[at[l], to[r]] = max(0, s - floor)
-    total, picked = _best(gain, solver)
-    out = []
+    costs = _costs(gain)
+    if solver is None:  # a row that costs nothing for each column that no record takes
+        paths = Paths(np.concatenate([costs, np.zeros((len(columns), costs.shape[1]), np.int64)]))
+        for i in range(costs.shape[1]):
+            paths.add(i)
+        picked = paths.column_of[: len(rows)]
+    else:
+        picked = solver(costs)
+    total, out = _total(gain, picked), []
     for i, j in enumerate(picked.tolist()):
-        if j >= 0:
-            without = gain.copy()
-            without[i, j] = 0
-            out.append((rows[i], columns[j], _best(without, solver)[0]))
+        if j >= len(columns) or not gain[i, j]:
+            continue
+        if solver is None:
+            rest = total - paths.loss(i, j)
+        else:
+            less = gain.copy()
+            less[i, j] = 0
+            rest = _total(less, solver(_costs(less)))
+        out.append((rows[i], columns[j], rest))
     return total, out
 
 
-def proposals(scored: DataFrame, incomplete: DataFrame, policy: Matching, solver: Solver = minimize) -> tuple[DataFrame, DataFrame]:
+def proposals(scored: DataFrame, incomplete: DataFrame, policy: Matching, solver: Solver | None = None) -> tuple[DataFrame, DataFrame]:
     """Selected edges with objective, gap and verdict; and node, component, limited of every node above the floor.
 
     ``scored``: left_id, right_id, block, score, covered, contradicted."""
@@ -98,11 +141,21 @@ def proposals(scored: DataFrame, incomplete: DataFrame, policy: Matching, solver
     floor = policy.floor
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        total, picked = solve(part["left_id"].tolist(), part["right_id"].tolist(), part["score"].tolist(), floor, solver)
-        return pd.DataFrame([(part["component"].iloc[0], l, r, total, total - rest) for l, r, rest in picked], columns=["component", "left_id", "right_id", "objective", "gap"])
-
-    free = held.join(sizes.where("limited is null").select("component"), "component", "left_semi")
-    chosen = free.select("component", "left_id", "right_id", "score").groupBy("component").applyInPandas(run, "component string, left_id string, right_id string, objective long, gap long")
+        out = []
+        for name, own in part.groupby("component", sort=False):
+            total, picked = solve(own["left_id"].tolist(), own["right_id"].tolist(), own["score"].tolist(), floor, solver)
+            out += [(name, l, r, total, total - rest) for l, r, rest in picked]
+        return pd.DataFrame(out, columns=["component", "left_id", "right_id", "objective", "gap"])
+
+    free = cut(held.join(sizes.where("limited is null").select("component", "n_edges"), "component").select("component", "left_id", "right_id", "score", "n_edges"))
+    # one edge alone is selected, and without it nothing is; other components go to tasks many at a time
+    gain = (F.col("score") - F.lit(floor)).cast("bigint")
+    alone = free.where("n_edges = 1").select("component", "left_id", "right_id", gain.alias("objective"), gain.alias("gap"))
+    several = free.where("n_edges > 1")
+    batches = max(1, -(-several.count() // EDGES_A_BATCH))
+    batched = several.withColumn("batch", F.pmod(F.xxhash64("component"), F.lit(batches)))
+    solved = batched.groupBy("batch").applyInPandas(run, "component string, left_id string, right_id string, objective long, gap long")
+    chosen = alone.unionByName(solved)
     chosen = chosen.join(scored.select("left_id", "right_id", "score", "covered", "contradicted"), ["left_id", "right_id"])
     failing = F.array_compact(F.array(
         F.when(F.col("score") < policy.threshold, F.lit("SCORE")), F.when(~F.col("covered"), F.lit("COVERAGE")), F.when(F.col("contradicted"), F.lit("CONTRADICTION")), F.when(F.col("gap") < policy.gap, F.lit("GAP"))

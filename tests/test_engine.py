@@ -35,6 +35,8 @@ def test_solver_against_exhaustive_search():
         if not edges:
             continue
         total, picked = assign.solve(*map(list, zip(*edges)), 7000)
+        other, again = assign.solve(*map(list, zip(*edges)), 7000, assign.minimize)
+        assert other == total and again == picked
         gain = np.zeros((n, m), np.int64)
         for l, r, s in edges:
             gain[int(l[1:]), int(r[1:])] = max(0, s - 7000)
