@@ -52,12 +52,30 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, shard
     return common.written(out.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), nth.alias("nth"), "label", "terms"), "sample")
 
 
+def _packed(old: np.ndarray, new: np.ndarray) -> bytes:
+    """The rows that changed: their number, places and changes."""
+    at = np.flatnonzero((new != old).reshape(len(old), -1).any(axis=1)).astype(np.int32)
+    return np.int64(len(at)).tobytes() + at.tobytes() + (new[at] - old[at]).astype(np.float32).tobytes()
+
+
+def _add(sums: list[np.ndarray], raw: bytes) -> None:
+    at = 0
+    for x in sums:
+        n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+        rows = np.frombuffer(raw, np.int32, n, at + 8)
+        size = n * (x.size // len(x))
+        x[rows] += np.frombuffer(raw, np.float32, size, at + 8 + 4 * n).reshape(n, *x.shape[1:])
+        at += 8 + 4 * n + 4 * size
+
+
 def trained(rows: DataFrame, state: list[np.ndarray], learn: Callable, rounds: int) -> list[np.ndarray]:
-    """``state`` after ``rounds`` rounds. ``learn(state, [(label, terms)])`` runs a shard's updates and returns its state."""
+    """``state`` (32-bit arrays) after ``rounds`` rounds. ``learn(state, [(label, terms)])`` runs a shard's updates and returns its state.
+
+    Shards send the rows of the state that they changed; the driver adds them one shard after the other."""
     if common.is_empty(rows):
         return state
     context = rows.sparkSession.sparkContext
-    shapes, kinds = [x.shape for x in state], [x.dtype for x in state]
+    shards = rows.select("shard").distinct().count()
     for _ in range(rounds):
         now = context.broadcast(state)
 
@@ -65,18 +83,13 @@ def trained(rows: DataFrame, state: list[np.ndarray], learn: Callable, rounds: i
             order = np.argsort(table["nth"].to_numpy())
             labels, held = table["label"].to_numpy(), table["terms"]
             new = learn([x.copy() for x in now.value], [(int(labels[i]), np.frombuffer(held[int(i)].as_py(), np.uint32).astype(np.int64)) for i in order])  # noqa: B023
-            return pa.table({"state": pa.array([b"".join(x.tobytes() for x in new)], pa.large_binary()).cast(pa.binary())})
-
-        got = rows.groupBy("shard").applyInArrow(run, "state binary").collect()  # a row for each shard
-        sums = [np.zeros(s, np.float64) for s in shapes]
-        for r in got:
-            at = 0
-            for x, kind in zip(sums, kinds):
-                size = x.size * kind.itemsize
-                x += np.frombuffer(r["state"][at : at + size], kind).reshape(x.shape)
-                at += size
-        state = [(x / len(got)).astype(k) for x, k in zip(sums, kinds)]
-        now.unpersist()
+            return pa.table({"shard": table["shard"].slice(0, 1), "state": pa.array([b"".join(_packed(x, y) for x, y in zip(now.value, new))], pa.binary())})  # noqa: B023
+
+        sums = [np.zeros(x.shape, np.float32) for x in state]
+        for r in rows.groupBy("shard").applyInArrow(run, "shard bigint, state binary").sort("shard").toLocalIterator():  # a row for each shard
+            _add(sums, r["state"])
+        state = [x + y / np.float32(shards) for x, y in zip(state, sums)]
+        now.destroy()
     return state
 
 

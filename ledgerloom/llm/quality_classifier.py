@@ -27,7 +27,7 @@ from . import common, hashed, textkit
 class Classifier:
     """Parameters."""
 
-    bits: int = 20
+    bits: int = 18
     most_rows: int = 24_000
     shards: int = 4
     rounds: int = 4

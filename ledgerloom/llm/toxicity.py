@@ -86,7 +86,7 @@ def model(docs: DataFrame, labels: DataFrame, m: Machine) -> list[np.ndarray]:
     rows = hashed.sample(docs, labels, "toxic", m.most_rows, m.shards, _terms(m.bits))
     size = (1 << m.bits) + 1
     v = np.random.default_rng(m.seed).normal(0, 0.05, (size, m.factors)).astype(np.float32)
-    return hashed.trained(rows, [np.zeros(size), np.zeros(size), v, np.zeros((size, m.factors), np.float32)], _learner(m), m.rounds)
+    return hashed.trained(rows, [np.zeros(size, np.float32), np.zeros(size, np.float32), v, np.zeros((size, m.factors), np.float32)], _learner(m), m.rounds)
 
 
 def apply(df: DataFrame, labels: DataFrame, m: Machine = Machine(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
