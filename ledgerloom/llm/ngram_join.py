@@ -13,14 +13,18 @@ element match). If the segments that count make H(k) + 1, each pair within reach
 
 *Cost-based allocation.* Whole segments cost one index row, deletions one more for each element, but small
 segments (or empty ones) match by chance. ``Scheme.of`` prices both and takes, for each band, the cheaper
-number of deletion segments, plus some spare segments. A set leaves out segments that say little: empty
-ones, and those whose content is in more than ``hot`` classes, as long as what remains counts H(k) + 1.
-Sets for which it does not, keep theirs. That loses nothing: if either set of a pair has enough segments
+number of deletion segments, plus some spare segments. A deletion segment of one element counts 1 only, since
+its match may be empty and unindexed. A set leaves out segments that say little: empty ones, and those with a
+row (whole or deletion) that is in more than ``hot`` classes, as long as the segments without such a row count
+H(k) + 1. Sets for which they do not, keep theirs. That loses nothing: if either set of a pair has enough segments
 left, the pair agrees in one of those; if neither has, both keep all.
 
-*Verification* is exact and never makes all pairs of a group. In each bucket the first class by a random
-order is the pivot; members are compared with pivots, links merge components, and after ``rounds`` rounds
-only members of a bucket that are still in different components are compared with each other.
+*Verification* is exact and does not make all pairs of a group. In each bucket the class that shares most rows
+of the index with others is the pivot (the text that others were copied from, where it is there); members are
+compared with pivots, links merge components, and the next pivot is a class that is still unlinked. After
+``rounds`` rounds the members of a bucket that are still in different components are compared with each other,
+but for pairs that were tested and pairs whose distances from a pivot of both differ by more than a link
+allows: the Jaccard distance keeps the triangle inequality.
 
 Scale: the index is one row of 16 bytes for each segment, counted by a map-side combined aggregation; rows
 come back only for buckets of two classes or more. Contents travel once for each comparison round, to the
@@ -34,13 +38,13 @@ name unless it holds no other; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textkit
@@ -53,7 +57,7 @@ class Join:
 
     words: int = 5
     percent: int = 80
-    rounds: int = 2
+    rounds: int = 3
     hot: int = 256
     salt_rows: int = 2_000
     broadcast_rows: int = 1_000_000
@@ -132,9 +136,9 @@ def _segment_names(band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return scheme.edges, textkit.mix(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 1_000_003 + 17))
 
 
-def index_rows(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For both schemes of a set: band, signatures, what each counts (0: a deletion, or an empty segment), and how much
-    the segments that are not empty count beyond what is needed."""
+def index_rows(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For both schemes of a set: band, signatures, the segment of each, what that counts (0: an empty segment), and
+    how much the segments that are not empty count beyond what is needed."""
     n = len(shingles)
     own = band_of(n, percent)
     out = []
@@ -151,16 +155,17 @@ def index_rows(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray
             sums = total[at[1:]] - total[at[:-1]]
             held = at[1:] > at[:-1]
             counts = np.ones(len(sums), np.int32)
-            counts[: scheme.deletions] = 2
+            counts[: scheme.deletions] += np.diff(at)[: scheme.deletions] > 1
             spare = int(counts[held].sum()) - scheme.need
             keep = held if spare >= 0 else np.ones(len(sums), bool)
-            signatures, weights = [textkit.mix(sums[keep] + names[keep])], [np.where(held, counts, 0)[keep]]
+            signatures, segments = [textkit.mix(sums[keep] + names[keep])], [np.flatnonzero(keep)]
             if scheme.deletions:
                 segment = np.repeat(np.arange(scheme.deletions), np.diff(at)[: scheme.deletions])
                 less = textkit.mix(sums[segment] - element[: len(segment)] + names[segment])
                 signatures.append(less)
-                weights.append(np.zeros(len(less), np.int32))
-            out.append((band, np.concatenate(signatures).view(np.int64), np.concatenate(weights).astype(np.int8), spare))
+                segments.append(segment)
+            of = np.concatenate(segments)
+            out.append((band, np.concatenate(signatures).view(np.int64), of.astype(np.int32), np.where(held, counts, 0)[of].astype(np.int8), spare))
     return out
 
 
@@ -193,9 +198,9 @@ def sets(df: DataFrame, join: Join) -> DataFrame:
 
 
 def index(df: DataFrame, join: Join) -> DataFrame:
-    """signature, class, band, counts, spare: the rows of the index, of all rows of (text)."""
+    """signature, class, band, segment, counts, spare: the rows of the index, of all rows of (text)."""
     words, percent = join.words, join.percent
-    names = ["signature", "class", "band", "counts", "spare"]
+    names = ["signature", "class", "band", "segment", "counts", "spare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,16 +208,16 @@ def index(df: DataFrame, join: Join) -> DataFrame:
             size = 0
 
             def flush() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int8(), pa.int32()]
+                kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int8(), pa.int32()]
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(held, kinds)], names=names)
 
             for _, _, shingles in _texts(iter([batch]), words):
                 if not len(shingles):
                     continue
                 name = set_id(shingles)
-                for band, signatures, counts, spare in index_rows(shingles, percent):
+                for band, signatures, segments, counts, spare in index_rows(shingles, percent):
                     m = len(signatures)
-                    for column, x in zip(held, (signatures, np.full(m, name), np.full(m, band, np.int16), counts, np.full(m, spare, np.int32))):
+                    for column, x in zip(held, (signatures, np.full(m, name), np.full(m, band, np.int16), segments, counts, np.full(m, spare, np.int32))):
                         column.append(x)
                     size += m
                 if size > 200_000:
@@ -221,7 +226,7 @@ def index(df: DataFrame, join: Join) -> DataFrame:
             if size:
                 yield flush()
 
-    return df.select("text").mapInArrow(run, "signature bigint, class bigint, band smallint, counts tinyint, spare int")
+    return df.select("text").mapInArrow(run, "signature bigint, class bigint, band smallint, segment int, counts tinyint, spare int")
 
 
 def contents(df: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -245,7 +250,7 @@ def contents(df: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
 
 def verified(pairs: DataFrame, held: DataFrame, join: Join) -> DataFrame:
-    """member, pivot of the pairs that are linked. Contents go once to the pivot's partition; a pivot of many members has several."""
+    """member, pivot, distance, linked of all pairs. Contents go once to the pivot's partition; a pivot of many members has several."""
     percent = join.percent
     salts = pairs.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > join.salt_rows)
     salts = salts.select("pivot", F.ceil(F.col("c") / join.salt_rows).alias("salts"))
@@ -259,7 +264,7 @@ def verified(pairs: DataFrame, held: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            members, linked = [], []
+            found = []
             for pivot, is_member, member, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pivot", "is_member", "member", "shingles"))):
                 got = np.frombuffer(raw, np.uint64)
                 if not is_member:
@@ -267,12 +272,33 @@ def verified(pairs: DataFrame, held: DataFrame, join: Join) -> DataFrame:
                     continue
                 assert now == pivot
                 both = len(np.intersect1d(own, got, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(got) - both):
-                    members.append(member)
-                    linked.append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array(linked, pa.int64())], names=["member", "pivot"])
+                union = len(own) + len(got) - both
+                found.append((member, pivot, 1 - both / union, 100 * both >= percent * union))
+            columns = [pa.array(list(x), k) for x, k in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["member", "pivot", "distance", "linked"])
+
+    return common.cut(dealt.mapInArrow(run, "member bigint, pivot bigint, distance double, linked boolean"))
+
+
+def worth(a: Callable[[str], Column], b: Callable[[str], Column], turns: int, join: Join) -> Column:
+    """Whether a pair may be linked, would merge components and is not tested, by the pivots that its classes have met so far."""
+    least = join.percent / 100
+    out = (a("component") != b("component")) & (100 * F.least(a("n"), b("n")) >= join.percent * F.greatest(a("n"), b("n")))
+    for t in range(turns):
+        p, q = a(f"pivot{t}"), b(f"pivot{t}")
+        far = (p == q) & (F.abs(a(f"distance{t}") - b(f"distance{t}")) > 1 - least + 1e-9)
+        out &= ~F.coalesce(far, F.lit(False)) & ~F.coalesce(p == b("class"), F.lit(False)) & ~F.coalesce(q == a("class"), F.lit(False))
+    return out
+
 
-    return common.cut(dealt.mapInArrow(run, "member bigint, pivot bigint"))
+def merged(state: DataFrame, found: DataFrame) -> DataFrame:
+    """``state`` after the links ``found`` (member, pivot)."""
+    if common.is_empty(found):
+        return state
+    a, b = state.select(F.col("class").alias("member"), F.col("component").alias("a")), state.select(F.col("class").alias("pivot"), F.col("component").alias("b"))
+    new = components(found.join(a, "member").join(b, "pivot").select("a", "b").where("a <> b").distinct())
+    new = new.select(F.col("node").alias("component"), F.col("component").alias("new_"))
+    return state.join(new, "component", "left").withColumn("component", F.coalesce("new_", "component")).drop("new_")
 
 
 def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
@@ -288,7 +314,8 @@ def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
     # segments in many classes are left out where the set's other segments suffice
     classes = met.groupBy("signature").agg(F.count("*").alias("classes")).where(F.col("classes") > join.hot).withColumnRenamed("signature", "hot_")
     marked = met.join(F.broadcast(classes) if _small(classes, join) else classes, F.col("signature") == F.col("hot_"), "left")
-    lost = marked.where("hot_ is not null").groupBy("class", "band").agg(F.sum("counts").alias("lost"), F.min("spare").alias("spare_"))
+    lost = marked.where("hot_ is not null").groupBy("class", "band", "segment").agg(F.first("counts").alias("counts"), F.first("spare").alias("spare"))
+    lost = lost.groupBy("class", "band").agg(F.sum("counts").alias("lost"), F.min("spare").alias("spare_"))
     lost = lost.where("spare_ >= lost").select(F.col("class").alias("class_"), F.col("band").alias("band_"))
     enough = marked.where("hot_ is not null").join(lost, (F.col("class") == F.col("class_")) & (F.col("band") == F.col("band_")), "left_anti")
     buckets = marked.where("hot_ is null").select("signature", "class").unionByName(enough.select("signature", "class"))
@@ -296,42 +323,37 @@ def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
     wanted = known.where("class is not null").join(buckets.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"))
     wanted = common.cut(wanted)
     held = contents(df, wanted, join)
-    sizes = wanted.select("class", "n")
-    buckets = buckets.join(sizes, "class")
-
-    tested: DataFrame | None = None
-    state = sizes.select("class", F.col("class").alias("component"))
-    for turn in range(join.rounds + 1):
-        last = turn == join.rounds
+    shares = buckets.groupBy("signature").agg(F.count("*").alias("c")).withColumnRenamed("signature", "signature_")
+    shares = buckets.join(shares, F.col("signature") == F.col("signature_")).groupBy("class").agg(F.sum("c").alias("shares"))
+    state = wanted.select("class", "n").join(shares, "class").select("class", "n", "shares", F.col("class").alias("component"), F.lit(False).alias("linked"), F.lit(False).alias("used"))
+    state = common.cut(state)
+    turns = 0
+    for turn in range(join.rounds):
         open_ = buckets.join(state, "class")
-        several = open_.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "n", "component")).alias("p"))
-        several = several.where("x <> y").select(F.col("signature").alias("signature_"), "p")
-        open_ = open_.join(several, F.col("signature") == F.col("signature_")).drop("signature_")
-        if last:
-            other = open_.select(F.col("signature").alias("signature_"), F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("component_"))
-            pairs = open_.join(other, (F.col("signature") == F.col("signature_")) & (F.col("class") < F.col("pivot")) & (F.col("component") != F.col("component_")))
-        else:
-            pairs = open_.select("class", "n", "component", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"), F.col("p.component").alias("component_"))
-            pairs = pairs.where("class <> pivot and component <> component_")
-        fits = 100 * F.least("n", "m") >= join.percent * F.greatest("n", "m")
-        pairs = pairs.where(fits).groupBy(F.col("class").alias("member"), "pivot").agg(F.count("*").alias("votes"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["member", "pivot"], "left_anti").join(tested.select(F.col("member").alias("pivot"), F.col("pivot").alias("member")), ["member", "pivot"], "left_anti")
-        if not last:  # a member's most likely pivot
-            first = Window.partitionBy("member").orderBy(F.col("votes").desc(), "pivot")
-            pairs = pairs.withColumn("r", F.row_number().over(first)).where("r = 1")
-        pairs = common.cut(pairs.select("member", "pivot"))
-        if common.is_empty(pairs):
-            continue
-        found = verified(pairs, held, join)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if common.is_empty(found):
-            continue
-        a, b = state.select(F.col("class").alias("member"), F.col("component").alias("a")), state.select(F.col("class").alias("pivot"), F.col("component").alias("b"))
-        merged = components(found.join(a, "member").join(b, "pivot").select("a", "b").where("a <> b").distinct())
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
-        state = common.cut(state.join(merged, "component", "left").select("class", F.coalesce("new", "component").alias("component")))
-    return state
+        first = F.min(F.struct("used", "linked", -F.col("shares"), F.xxhash64("class"), *state.columns))
+        heads = open_.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), first.alias("head")).where("x <> y").select(F.col("signature").alias("signature_"), "head")
+        pairs = open_.join(heads, (F.col("signature") == F.col("signature_")) & worth(F.col, lambda c: F.col("head")[c], turn, join))
+        pairs = pairs.groupBy(F.col("class").alias("member"), F.col("head.class").alias("pivot")).agg(F.count("*").alias("votes"))
+        likely = F.max_by("pivot", F.struct("votes", "pivot"))  # a member's most likely pivot
+        pairs = common.cut(pairs.groupBy("member").agg(likely.alias("pivot")))
+        if common.is_empty(pairs):  # what others of the buckets may hold is left to the last comparison
+            break
+        turns += 1
+        tested = verified(pairs, held, join)
+        met_now = tested.select(F.col("member").alias("class"), F.col("pivot").alias(f"pivot{turn}"), F.col("distance").alias(f"distance{turn}"), F.col("linked").alias("linked_"))
+        own = tested.select(F.col("pivot").alias("class"), F.lit(True).alias("used_")).distinct()
+        state = state.join(met_now, "class", "left").join(own, "class", "left")
+        state = state.withColumn("linked", F.col("linked") | F.coalesce("linked_", F.lit(False))).withColumn("used", F.col("used") | F.coalesce("used_", F.lit(False)))
+        state = state.withColumn(f"distance{turn}", F.when(F.col("used_"), 0.0).otherwise(F.col(f"distance{turn}"))).withColumn(f"pivot{turn}", F.when(F.col("used_"), F.col("class")).otherwise(F.col(f"pivot{turn}")))
+        state = common.cut(merged(common.cut(state.drop("linked_", "used_")), tested.where("linked").select("member", "pivot")))
+    open_ = buckets.join(state, "class")
+    other = open_.select(*(F.col(c).alias(f"other_{c}") for c in open_.columns))
+    same = (F.col("signature") == F.col("other_signature")) & (F.col("class") < F.col("other_class"))
+    pairs = open_.join(other, same & worth(F.col, lambda c: F.col(f"other_{c}"), turns, join))
+    pairs = common.cut(pairs.select(F.col("class").alias("member"), F.col("other_class").alias("pivot")).distinct())
+    if not common.is_empty(pairs):
+        state = merged(state, verified(pairs, held, join).where("linked").select("member", "pivot"))
+    return state.select("class", "component")
 
 
 def _small(df: DataFrame, join: Join) -> bool:

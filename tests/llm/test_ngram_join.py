@@ -105,7 +105,7 @@ def test_pigeonhole_by_scheme():
             i = len(np.intersect1d(a, b))
             if not len(b) or 100 * i < percent * (len(a) + len(b) - i):
                 continue
-            x, y = ({(band, s) for band, sig, _, _ in nj.index_rows(v, percent) for s in sig.tolist()} for v in (a, b))
+            x, y = ({(band, s) for band, sig, *_ in nj.index_rows(v, percent) for s in sig.tolist()} for v in (a, b))
             assert x & y, (percent, n, len(b))
 
 
