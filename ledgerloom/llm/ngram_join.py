@@ -21,10 +21,10 @@ left, the pair agrees in one of those; if neither has, both keep all.
 
 *Verification* is exact and does not make all pairs of a group. In each bucket the class that shares most rows
 of the index with others is the pivot (the text that others were copied from, where it is there); members are
-compared with pivots, links merge components, and the next pivot is a class that is still unlinked. After
-``rounds`` rounds the members of a bucket that are still in different components are compared with each other,
-but for pairs that were tested and pairs whose distances from a pivot of both differ by more than a link
-allows: the Jaccard distance keeps the triangle inequality.
+compared with the ``pivots`` pivots that most of them have and links merge components. The classes near one pivot are then joined by the
+elements in which they differ from it (``family_pairs``), which settles all pairs of them. Further pivots are classes
+that are still unlinked. After ``rounds`` rounds the members of a bucket that are in different components are
+compared with each other, but for pairs that were tested or had a pivot near both.
 
 Scale: the index is one row of 16 bytes for each segment, counted by a map-side combined aggregation; rows
 come back only for buckets of two classes or more. Contents travel once for each comparison round, to the
@@ -58,6 +58,7 @@ class Join:
     words: int = 5
     percent: int = 80
     rounds: int = 3
+    pivots: int = 2
     hot: int = 256
     salt_rows: int = 2_000
     broadcast_rows: int = 1_000_000
@@ -249,8 +250,10 @@ def contents(df: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     return common.written(texts.select("text").mapInArrow(run, "class bigint, shingles binary").dropDuplicates(["class"]), "contents")
 
 
-def verified(pairs: DataFrame, held: DataFrame, join: Join) -> DataFrame:
-    """member, pivot, distance, linked of all pairs. Contents go once to the pivot's partition; a pivot of many members has several."""
+def verified(pairs: DataFrame, held: DataFrame, join: Join, differ: bool = False) -> DataFrame:
+    """member, pivot, n, pivot_n (sizes), linked, near, differ of all pairs. Contents go once to the pivot's partition; a
+    pivot of many members has several. ``near``: they share half of their union at least; then ``differ``, if asked for,
+    holds the elements of just one of the two."""
     percent = join.percent
     salts = pairs.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > join.salt_rows)
     salts = salts.select("pivot", F.ceil(F.col("c") / join.salt_rows).alias("salts"))
@@ -260,6 +263,8 @@ def verified(pairs: DataFrame, held: DataFrame, join: Join) -> DataFrame:
     pivots = pairs.select("pivot", "salt").distinct().join(held.withColumnRenamed("class", "pivot"), "pivot")
     pivots = pivots.select("pivot", "salt", F.lit(0).alias("is_member"), F.col("pivot").alias("member"), "shingles")
     dealt = members.unionByName(pivots).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "is_member")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+    names = ["member", "pivot", "n", "pivot_n", "linked", "near", "differ"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, np.uint64)
@@ -273,22 +278,52 @@ def verified(pairs: DataFrame, held: DataFrame, join: Join) -> DataFrame:
                 assert now == pivot
                 both = len(np.intersect1d(own, got, assume_unique=True))
                 union = len(own) + len(got) - both
-                found.append((member, pivot, 1 - both / union, 100 * both >= percent * union))
-            columns = [pa.array(list(x), k) for x, k in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["member", "pivot", "distance", "linked"])
-
-    return common.cut(dealt.mapInArrow(run, "member bigint, pivot bigint, distance double, linked boolean"))
-
-
-def worth(a: Callable[[str], Column], b: Callable[[str], Column], turns: int, join: Join) -> Column:
-    """Whether a pair may be linked, would merge components and is not tested, by the pivots that its classes have met so far."""
-    least = join.percent / 100
+                near = 2 * both >= union
+                apart = np.setxor1d(own, got, assume_unique=True).view(np.int64) if near and differ else None
+                found.append((member, pivot, len(got), len(own), 100 * both >= percent * union, near, apart))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found) if found else [[]] * len(kinds), kinds)], names=names)
+
+    return common.cut(dealt.mapInArrow(run, "member bigint, pivot bigint, n bigint, pivot_n bigint, linked boolean, near boolean, differ array<bigint>"))
+
+
+def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
+    """member, pivot: the pairs of classes near one pivot that may be linked and are in different components.
+
+    Let D be the elements in which a class differs from the pivot, and X = (100 + percent) * |D| - (100 - percent) * n.
+    Two classes are linked just if 2 * (100 + percent) * |D & D'| >= X + X', since A and B differ in what D and D' do.
+    A class that isn't linked with the pivot has X > P = (100 - percent) * (the pivot's size), any other X >= -P, so
+    each knows how many elements of D it must share with another, and its rarest elements beyond that many less
+    one hold one of those (the prefix filter), rarity being counted among the pivot's classes. Elements that one class
+    alone has come first and are met by nobody: copies of a pivot with edits of their own make no pair.
+    """
+    near = tested.where("near").withColumn("far", ~F.col("linked"))
+    least, most = 100 - join.percent, 100 + join.percent
+    x, p = most * F.size("differ") - least * F.col("n"), least * F.col("pivot_n")
+    share = lambda v: F.greatest(F.lit(1), F.ceil(v / (2 * most)))
+    near = near.withColumn("tight", F.size("differ") - share(x + p + 1) + 1).withColumn("loose", F.when(F.col("far"), F.size("differ") - share(x - p) + 1))
+    open_ = near.where("far").select(F.col("pivot").alias("pivot_")).distinct()
+    near = near.join(open_, F.col("pivot") == F.col("pivot_"), "left_semi")
+    rows = near.select("pivot", "member", "n", "far", "tight", "loose", F.size("differ").alias("d"), F.explode("differ").alias("element"))
+    rows = common.written(rows, "differ")
+    counts = rows.groupBy("pivot", "element").agg(F.count("*").alias("c")).where("c > 1")
+    counts = counts.select(F.col("pivot").alias("pivot_"), F.col("element").alias("element_"), "c")
+    met = rows.join(counts, (F.col("pivot") == F.col("pivot_")) & (F.col("element") == F.col("element_"))).drop("pivot_", "element_")
+    own = Window.partitionBy("pivot", "member")
+    met = met.withColumn("rank", F.row_number().over(own.orderBy("c", "element")) + F.col("d") - F.count("*").over(own))
+    met = met.where(F.col("rank") <= F.greatest("tight", F.coalesce("loose", F.lit(0))))
+    met = met.join(state.select(F.col("class").alias("member"), "component"), "member")
+    met = common.cut(met.select("pivot", "element", "member", "n", "component", "far", (F.col("rank") <= F.col("tight")).alias("tight")))
+    other = met.select(*(F.col(c).alias(f"other_{c}") for c in met.columns)).where("other_far")
+    same = (F.col("pivot") == F.col("other_pivot")) & (F.col("element") == F.col("other_element")) & (F.col("component") != F.col("other_component")) & F.col("tight")
+    same &= F.when(F.col("far"), F.col("other_tight") & (F.col("member") < F.col("other_member"))).otherwise(F.lit(True))
+    same &= 100 * F.least("n", "other_n") >= join.percent * F.greatest("n", "other_n")
+    return common.cut(met.join(other, same).select("member", F.col("other_member").alias("pivot")).distinct())
+
+
+def worth(a: Callable[[str], Column], b: Callable[[str], Column], join: Join) -> Column:
+    """Whether a pair may be linked, would merge components and is not settled, by the pivots that its classes have met so far."""
     out = (a("component") != b("component")) & (100 * F.least(a("n"), b("n")) >= join.percent * F.greatest(a("n"), b("n")))
-    for t in range(turns):
-        p, q = a(f"pivot{t}"), b(f"pivot{t}")
-        far = (p == q) & (F.abs(a(f"distance{t}") - b(f"distance{t}")) > 1 - least + 1e-9)
-        out &= ~F.coalesce(far, F.lit(False)) & ~F.coalesce(p == b("class"), F.lit(False)) & ~F.coalesce(q == a("class"), F.lit(False))
-    return out
+    return out & ~F.arrays_overlap(a("near"), b("near")) & ~F.array_contains(a("apart"), b("class")) & ~F.array_contains(b("apart"), a("class"))
 
 
 def merged(state: DataFrame, found: DataFrame) -> DataFrame:
@@ -325,31 +360,42 @@ def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
     held = contents(df, wanted, join)
     shares = buckets.groupBy("signature").agg(F.count("*").alias("c")).withColumnRenamed("signature", "signature_")
     shares = buckets.join(shares, F.col("signature") == F.col("signature_")).groupBy("class").agg(F.sum("c").alias("shares"))
+    # near: the class and the pivots that it is near; apart: pivots that it was compared with and is not near
     state = wanted.select("class", "n").join(shares, "class").select("class", "n", "shares", F.col("class").alias("component"), F.lit(False).alias("linked"), F.lit(False).alias("used"))
-    state = common.cut(state)
-    turns = 0
-    for turn in range(join.rounds):
+    state = common.cut(state.withColumn("near", F.array("class")).withColumn("apart", F.array().cast("array<bigint>")))
+    for _ in range(join.rounds):
         open_ = buckets.join(state, "class")
         first = F.min(F.struct("used", "linked", -F.col("shares"), F.xxhash64("class"), *state.columns))
         heads = open_.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), first.alias("head")).where("x <> y").select(F.col("signature").alias("signature_"), "head")
-        pairs = open_.join(heads, (F.col("signature") == F.col("signature_")) & worth(F.col, lambda c: F.col("head")[c], turn, join))
-        pairs = pairs.groupBy(F.col("class").alias("member"), F.col("head.class").alias("pivot")).agg(F.count("*").alias("votes"))
-        likely = F.max_by("pivot", F.struct("votes", "pivot"))  # a member's most likely pivot
-        pairs = common.cut(pairs.groupBy("member").agg(likely.alias("pivot")))
+        pairs = open_.join(heads, (F.col("signature") == F.col("signature_")) & worth(F.col, lambda c: F.col("head")[c], join))
+        pairs = common.cut(pairs.groupBy(F.col("class").alias("member"), F.col("head.class").alias("pivot")).agg(F.count("*").alias("votes")))
         if common.is_empty(pairs):  # what others of the buckets may hold is left to the last comparison
             break
-        turns += 1
-        tested = verified(pairs, held, join)
-        met_now = tested.select(F.col("member").alias("class"), F.col("pivot").alias(f"pivot{turn}"), F.col("distance").alias(f"distance{turn}"), F.col("linked").alias("linked_"))
-        own = tested.select(F.col("pivot").alias("class"), F.lit(True).alias("used_")).distinct()
-        state = state.join(met_now, "class", "left").join(own, "class", "left")
+        # a member meets the pivots of most members, so that a group's members have pivots in common
+        known_by = pairs.groupBy("pivot").agg(F.count("*").alias("members"))
+        place = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("members"), F.desc("votes"), "pivot"))
+        pairs = pairs.join(known_by, "pivot").withColumn("place", place).where(F.col("place") <= join.pivots).select("member", "pivot")
+        tested = verified(pairs, held, join, differ=True)
+        own = tested.groupBy(F.col("member").alias("class")).agg(F.max("linked").alias("linked_"), *(F.collect_list(F.when(ok, F.col("pivot"))).alias(c) for c, ok in (("near_", F.col("near")), ("apart_", ~F.col("near")))))
+        used = tested.select(F.col("pivot").alias("class"), F.lit(True).alias("used_")).distinct()
+        state = state.join(own, "class", "left").join(used, "class", "left")
         state = state.withColumn("linked", F.col("linked") | F.coalesce("linked_", F.lit(False))).withColumn("used", F.col("used") | F.coalesce("used_", F.lit(False)))
-        state = state.withColumn(f"distance{turn}", F.when(F.col("used_"), 0.0).otherwise(F.col(f"distance{turn}"))).withColumn(f"pivot{turn}", F.when(F.col("used_"), F.col("class")).otherwise(F.col(f"pivot{turn}")))
-        state = common.cut(merged(common.cut(state.drop("linked_", "used_")), tested.where("linked").select("member", "pivot")))
+        for c in ("near", "apart"):
+            state = state.withColumn(c, F.concat(c, F.coalesce(f"{c}_", F.array().cast("array<bigint>"))))
+        state = common.cut(merged(common.cut(state.drop("linked_", "used_", "near_", "apart_")), tested.where("linked").select("member", "pivot")))
+        family = family_pairs(tested, state, join)
+        if not common.is_empty(family):
+            state = common.cut(merged(state, verified(family, held, join).where("linked").select("member", "pivot")))
+    # buckets of one component, or whose classes are all near one pivot, are settled
     open_ = buckets.join(state, "class")
+    sizes = open_.groupBy("signature").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(F.col("signature").alias("signature_"), "c")
+    near = open_.select("signature", F.explode("near").alias("pivot")).groupBy("signature", "pivot").agg(F.count("*").alias("c")).groupBy("signature").agg(F.max("c").alias("most"))
+    left = sizes.join(near, F.col("signature") == F.col("signature_")).where("most < c").select("signature_")
+    open_ = open_.join(left, F.col("signature") == F.col("signature_"), "left_semi")
+    open_ = common.cut(open_)
     other = open_.select(*(F.col(c).alias(f"other_{c}") for c in open_.columns))
     same = (F.col("signature") == F.col("other_signature")) & (F.col("class") < F.col("other_class"))
-    pairs = open_.join(other, same & worth(F.col, lambda c: F.col(f"other_{c}"), turns, join))
+    pairs = open_.join(other, same & worth(F.col, lambda c: F.col(f"other_{c}"), join))
     pairs = common.cut(pairs.select(F.col("class").alias("member"), F.col("other_class").alias("pivot")).distinct())
     if not common.is_empty(pairs):
         state = merged(state, verified(pairs, held, join).where("linked").select("member", "pivot"))
