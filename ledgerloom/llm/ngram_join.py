@@ -24,7 +24,8 @@ of the index with others is the pivot (the text that others were copied from, wh
 compared with the ``pivots`` pivots that most of them have and links merge components. The classes near one pivot are then joined by the
 elements in which they differ from it (``family_pairs``), which settles all pairs of them. Further pivots are classes
 that are still unlinked. After ``rounds`` rounds the members of a bucket that are in different components are
-compared with each other, but for pairs that were tested or had a pivot near both.
+compared with each other, but for pairs that were tested or had a pivot near both. Pairs whose ``parities`` differ in
+more bits than linked sets may differ in elements are never compared.
 
 Scale: the index is one row of 16 bytes for each segment, counted by a map-side combined aggregation; rows
 come back only for buckets of two classes or more. Contents travel once for each comparison round, to the
@@ -230,24 +231,37 @@ def index(df: DataFrame, join: Join) -> DataFrame:
     return df.select("text").mapInArrow(run, "signature bigint, class bigint, band smallint, segment int, counts tinyint, spare int")
 
 
+#: Columns of a set's parities: bit i of all tells whether it holds an odd number of elements of bin i.
+PARITIES = [f"parity{i}" for i in range(8)]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Sets that differ in d elements differ in at most d of these bits."""
+    bins = 64 * len(PARITIES)
+    counts = np.bincount((shingles % np.uint64(bins)).astype(np.int64), minlength=bins)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def contents(df: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """class, shingles (binary, sorted 64-bit) of the classes of ``wanted`` (class, text_key: one text each)."""
+    """class, shingles (binary, sorted 64-bit) and parities of the classes of ``wanted`` (class, text_key: one text each)."""
     words = join.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held = [], []
+            ids, held, odd = [], [], []
             for _, _, shingles in _texts(iter([batch]), words):
                 if len(shingles):
                     ids.append(set_id(shingles))
                     held.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], names=["class", "shingles"])
+                    odd.append(parities(shingles))
+            bits = np.array(odd, np.int64).reshape(-1, len(PARITIES))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary()), *(pa.array(x, pa.int64()) for x in bits.T)], names=["class", "shingles", *PARITIES])
 
     keys = wanted.select(F.col("text_key").alias("key_"))
     keys = F.broadcast(keys) if wanted.limit(join.broadcast_rows + 1).count() <= join.broadcast_rows else keys
     texts = df.select("text", F.xxhash64("text").alias("key_")).join(keys, "key_", "left_semi")
     # copies of a text meet again here; one is kept
-    return common.written(texts.select("text").mapInArrow(run, "class bigint, shingles binary").dropDuplicates(["class"]), "contents")
+    return common.written(texts.select("text").mapInArrow(run, ", ".join(["class bigint, shingles binary", *(f"{c} bigint" for c in PARITIES)])).dropDuplicates(["class"]), "contents")
 
 
 def verified(pairs: DataFrame, held: DataFrame, join: Join, differ: bool = False) -> DataFrame:
@@ -323,6 +337,8 @@ def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
 def worth(a: Callable[[str], Column], b: Callable[[str], Column], join: Join) -> Column:
     """Whether a pair may be linked, would merge components and is not settled, by the pivots that its classes have met so far."""
     out = (a("component") != b("component")) & (100 * F.least(a("n"), b("n")) >= join.percent * F.greatest(a("n"), b("n")))
+    bits = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in PARITIES), F.lit(0))
+    out &= (100 + join.percent) * bits <= (100 - join.percent) * (a("n") + b("n"))
     return out & ~F.arrays_overlap(a("near"), b("near")) & ~F.array_contains(a("apart"), b("class")) & ~F.array_contains(b("apart"), a("class"))
 
 
@@ -362,7 +378,7 @@ def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
     shares = buckets.join(shares, F.col("signature") == F.col("signature_")).groupBy("class").agg(F.sum("c").alias("shares"))
     # near: the class and the pivots that it is near; apart: pivots that it was compared with and is not near
     state = wanted.select("class", "n").join(shares, "class").select("class", "n", "shares", F.col("class").alias("component"), F.lit(False).alias("linked"), F.lit(False).alias("used"))
-    state = common.cut(state.withColumn("near", F.array("class")).withColumn("apart", F.array().cast("array<bigint>")))
+    state = common.cut(state.withColumn("near", F.array("class")).withColumn("apart", F.array().cast("array<bigint>")).join(held.select("class", *PARITIES), "class"))
     for _ in range(join.rounds):
         open_ = buckets.join(state, "class")
         first = F.min(F.struct("used", "linked", -F.col("shares"), F.xxhash64("class"), *state.columns))
