@@ -1,11 +1,14 @@
 """Operator 5: benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. *Seeds.* An item's seeds are its distinct runs of ``seed_words`` words (lower-cased, punctuation dropped).
-2. *Rarity* is measured over all documents: the number of documents that hold a seed. Each item keeps the rarer
-   ``rare_share`` of its seeds, at least ``least_seeds`` of them and all that tie with the last. So an item that
-   was copied into many documents keeps seeds too: they are compared with the item's other seeds only.
-3. *Join.* A pass over the documents finds kept seeds; each gives a diagonal in the alignment of item and
-   document. Windows around neighbouring diagonals are aligned.
+2. *Rarity* is measured over all documents: the number of documents that hold a seed. Seeds that no document holds
+   have no rank. Of the others the rarer ``rare_share`` of each item are rare, at least ``least_seeds`` of them and all
+   that tie with the last. So an item that was copied into many documents has rare seeds too: they are compared with
+   the item's other seeds only.
+3. *Join.* A pass over the documents finds the seeds; each gives a diagonal in the alignment of item and document.
+   Windows around neighbouring diagonals, wide enough for all gaps that ``least_score`` allows, are aligned if one of
+   their seeds is rare. Those of common seeds only (the half of an item that others hold too) are aligned unless the
+   item's words that the window holds can't reach ``least_score``, which loses nothing.
 4. *Alignment.* Smith-Waterman over words (match +2, mismatch -1, gap -1), many windows at a time. The
    score is the best one found over the best possible (2 for each word of the item). From ``least_score``
    on the document counts as contaminated.
@@ -49,7 +52,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items of one block: word hashes, and for each kept seed where it stands in which item."""
+    """Items of one block: word hashes, and for each found seed where it stands in which item and whether it is rare there."""
 
     ids: list
     words: list[np.ndarray]
@@ -57,27 +60,30 @@ class Block:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    rare: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple], seed_words: int, kept: set[tuple[int, int]] | None = None) -> Block:
-        """``rows``: id, text. ``kept``: (item's number, seed) pairs; all seeds if there are none."""
-        held, seeds, items, places = [], [], [], []
+    def of(rows: list[tuple], seed_words: int, found: dict[int, int] | None = None, rare: set[tuple[int, int]] = frozenset()) -> Block:
+        """``rows``: id, text. ``found``: the seeds to hold; all if there are none. ``rare``: (item's number, seed) pairs."""
+        held, seeds, items, places, marks = [], [], [], [], []
         for k, (_, text) in enumerate(rows):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             hashes = _words(raw, np.array([0, len(raw)]))[2]
             held.append(hashes)
             grams = textkit.grams(hashes, seed_words).view(np.int64)
             at = np.arange(len(grams))
-            if kept is not None:
-                at = np.array([p for p, g in enumerate(grams.tolist()) if (k, g) in kept], np.int64)
+            if found is not None:
+                at = np.array([p for p, g in enumerate(grams.tolist()) if g in found], np.int64)
             seeds.append(grams[at])
             items.append(np.full(len(at), k))
             places.append(at)
+            marks.append(np.array([(k, g) in rare for g in grams[at].tolist()], bool))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         seeds, items, places = cat(seeds, np.int64), cat(items, np.int64), cat(places, np.int64)
+        marks = cat(marks, bool)
         order = np.argsort(seeds, kind="stable")
         distinct, first = np.unique(seeds[order], return_index=True)
-        return Block([r[0] for r in rows], held, distinct, np.append(first, len(seeds)), items[order], places[order])
+        return Block([r[0] for r in rows], held, distinct, np.append(first, len(seeds)), items[order], places[order], marks[order])
 
 
 def _documents(batch: pa.RecordBatch, seed_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -119,16 +125,16 @@ def seed_counts(docs: DataFrame, block: Block, leaks: Leaks) -> dict[int, int]:
 
 
 def rare(block: Block, counts: dict[int, int], leaks: Leaks) -> set[tuple[int, int]]:
-    """(item, seed) pairs that are kept."""
+    """(item, seed) pairs of the seeds that are rare among those of their item that documents hold."""
     by_item: dict[int, set[int]] = {}
     for s, a, b in zip(block.seeds.tolist(), block.first[:-1].tolist(), block.first[1:].tolist()):
-        for k in block.item[a:b].tolist():
+        for k in block.item[a:b].tolist() if s in counts else ():
             by_item.setdefault(k, set()).add(s)
     kept = set()
     for k, own in by_item.items():
-        line = sorted(counts.get(s, 0) for s in own)
+        line = sorted(counts[s] for s in own)
         last = line[min(len(line), max(leaks.least_seeds, int(np.ceil(len(line) * leaks.rare_share)))) - 1]
-        kept |= {(k, s) for s in own if counts.get(s, 0) <= last}
+        kept |= {(k, s) for s in own if counts[s] <= last}
     return kept
 
 
@@ -155,25 +161,27 @@ def align(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, end
 
 
-def _windows(hits: np.ndarray, block: Block, number: np.ndarray, words: int) -> Iterator[tuple[int, int, int]]:
-    """item, begin, end of the parts of a document to align."""
+def _windows(hits: np.ndarray, block: Block, number: np.ndarray, words: int, leaks: Leaks) -> Iterator[tuple[int, int, int, bool]]:
+    """item, begin, end of the parts of a document to align, and whether they hold a rare seed."""
     counts = block.first[number + 1] - block.first[number]
     entry = np.repeat(block.first[number] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
     item, diagonal = block.item[entry], np.repeat(hits, counts) - block.place[entry]
     order = np.lexsort((diagonal, item))
-    item, diagonal = item[order], diagonal[order]
+    item, diagonal, rare = item[order], diagonal[order], block.rare[entry][order]
     for k in np.unique(item).tolist():
-        own = np.unique(diagonal[item == k])
+        mine = item == k
+        own, first = np.unique(diagonal[mine], return_index=True)
+        marks = np.logical_or.reduceat(rare[mine], first)
         n = len(block.words[k])
-        pad = n // 2 + 2
+        pad = int(2 * n * (1 - leaks.least_score)) + 2  # more gaps cost too much
         new = np.flatnonzero(np.append(True, np.diff(own) > n + 2 * pad))
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(own)]):
             low, high = max(0, int(own[a]) - pad), min(words, int(own[b - 1]) + n + pad)
-            size, step = 4 * n + 4 * pad, 2 * n
+            size, step, sure = 4 * n + 4 * pad, 2 * n, bool(marks[a:b].any())
             while high - low > size:
-                yield k, low, low + size
+                yield k, low, low + size, sure
                 low += step
-            yield k, low, high
+            yield k, low, high, sure
 
 
 def pairs(docs: DataFrame, block: Block, leaks: Leaks) -> DataFrame:
@@ -209,7 +217,10 @@ def pairs(docs: DataFrame, block: Block, leaks: Leaks) -> DataFrame:
                 hits, number = _found(block.seeds, grams)
                 if not len(hits):
                     continue
-                for k, low, high in _windows(hits, block, number, len(words)):
+                for k, low, high, sure in _windows(hits, block, number, len(words), leaks):
+                    # each word of the item gains 2 at most, and only if the window holds it
+                    if not sure and np.isin(block.words[k], words[low:high]).sum() < leaks.least_score * len(block.words[k]):
+                        continue
                     waiting.append((row, k, low, words[low:high]))
                     cells += high - low
                     if cells > 20 * leaks.batch_cells:
@@ -239,7 +250,10 @@ def apply(df: DataFrame, benchmark: DataFrame, leaks: Leaks = Leaks(), id_col: s
         block = Block.of(rows, leaks.seed_words)
         if not len(block.seeds):
             continue
-        block = Block.of(rows, leaks.seed_words, rare(block, seed_counts(docs, block, leaks), leaks))
+        counts = seed_counts(docs, block, leaks)
+        if not counts:
+            continue
+        block = Block.of(rows, leaks.seed_words, counts, rare(block, counts, leaks))
         names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"item bigint, item_id {kind}")
         out.append(common.cut(pairs(docs, block, leaks).join(F.broadcast(names), "item").select("doc_id", "item_id", "score", "end_word")))
     if not out:

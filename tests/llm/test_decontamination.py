@@ -84,3 +84,24 @@ def test_stage_with_odd_rows(spark, odd, none, tmp_path):
     out = d.stage(spark, odd, str(tmp_path))
     assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(r["doc_id"]) for r in odd.collect() if r["doc_id"] not in (6, 7))
     assert d.stage(spark, none, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("step", [4, 5])
+def test_edits_and_half_copies_against_all_pairs(spark, step):
+    """Copies with each nth word changed leave most seeds of an item in no document; half copies hold the common half of its seeds only."""
+    rng = random.Random(step)
+    vocabulary = [f"w{chr(97 + k % 26)}{k}" for k in range(3000)]
+    items = [rng.sample(vocabulary, n) for n in (20, 24, 30, 40, 40, 60)]
+    rows = []
+    for k, item in enumerate(items[:3]):
+        rows.append([f"new{i}" if i % step == step - 1 else w for i, w in enumerate(item)])
+    for item in items[3:5]:
+        rows += [list(item), item[: len(item) // 2], item[len(item) // 2 :], item[: len(item) // 2 - 1], item[:3]]
+    sparse = [x for i, w in enumerate(items[5][:-3]) for x in ([w, "gap", "more"] if i % 2 else [w])] + items[5][-3:]  # one seed, at the end
+    rows = [rng.sample(vocabulary, 30) + r + rng.sample(vocabulary, 30) for r in [*rows, sparse]]
+    names = {w: i + 1 for i, w in enumerate({w for r in rows for w in r} | set(vocabulary))}
+    want = {(i, k) for i, r in enumerate(rows) for k, t in enumerate(items) if slow_align([names[w] for w in r], [names[w] for w in t]) >= len(t)}
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.apply(docs, bench).collect()}
+    assert got == want and len(want) == 10
