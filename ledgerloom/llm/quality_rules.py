@@ -6,12 +6,12 @@ runs of white space as one space) and hashed, and for each host the distinct doc
 counted. Lines above the limit are boilerplate and are removed; a document that loses too much of itself
 is depleted and rejected.
 
-What counts as one document: whole and near copies repeat every line of each other, which says nothing
-about boilerplate (copies are the near-duplicate operator's matter). So the documents of a line are
-counted by what else they hold: each text is known by its two smallest line hashes, and for a line the
-smallest that is not the line itself is counted. Copies count once, independent texts once each.
+What counts as one document: copies repeat every line of each other, which says nothing about boilerplate
+(copies are the near-duplicate operator's matter). So distinct texts are counted, each known by one 64-bit hash
+(``text_key``). Texts whose normalised lines are the same, in the same order, are copies and count once: a form
+whose texts differ in digits only is one text. All others count once each, near copies with other edits included.
 
-Scale: a text goes to Python once, in Arrow batches, and what is shuffled is (host, line hash, sketch),
+Scale: a text goes to Python once, in Arrow batches, and what is shuffled is (host, line hash, text key),
 combined before the shuffle by a distinct and then counted. Frequent lines come back by a broadcast only
 below a checked number of rows, else by a join that spreads each frequent line over salts.
 
@@ -106,9 +106,9 @@ def _line_hashes(lines: list[bytes]) -> np.ndarray:
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the base measures and, per row, its lines: arrays of hashes and of word counts."""
-    schema = f"{BASE}, line_hash array<bigint>, line_words array<int>, sketch array<bigint>"
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    """``df`` with the base measures and, per row, its lines (arrays of hashes and of word counts) and the text's key."""
+    schema = f"{BASE}, line_hash array<bigint>, line_words array<int>, text_key bigint"
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
     others = [c for c in df.columns if c != text]
 
@@ -118,8 +118,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             rows = []
             for i in range(len(offsets) - 1):
                 base, lines, sizes = _measure(data[offsets[i] : offsets[i + 1]].tobytes(), True)
-                hashes = _line_hashes(lines)
-                rows.append((*base, hashes, sizes, np.unique(hashes.view(np.uint64))[:2].view(np.int64)))
+                rows.append((*base, _line_hashes(lines), sizes, _line_hashes([b"\n".join(lines)])[0]))
             columns = [pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             keep = [batch.column(batch.schema.get_field_index(c)) for c in others]
             yield pa.RecordBatch.from_arrays(keep + columns, names=others + names)
@@ -129,12 +128,11 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, rules: Rules) -> DataFrame:
-    """(host, line_hash) of the lines above the limits. ``lines``: host, line_hash array, sketch array, one row per document."""
+    """(host, line_hash) of the lines above the limits. ``lines``: host, line_hash array, text_key, one row per document."""
     hosts = lines.groupBy("host").agg(F.count("*").alias("host_documents"))
-    each = lines.select("host", "sketch", F.explode(F.array_distinct("line_hash")).alias("line_hash"))
-    other = F.coalesce(F.when(F.col("sketch")[0] != F.col("line_hash"), F.col("sketch")[0]), F.get("sketch", F.lit(1)), F.lit(0))
+    each = lines.select("host", "text_key", F.explode(F.array_distinct("line_hash")).alias("line_hash"))
     # distinct before the count: the same line of copies falls together before and in the shuffle
-    pairs = each.select("host", "line_hash", other.alias("known_by")).distinct()
+    pairs = each.select("host", "line_hash", "text_key").distinct()
     counts = pairs.groupBy("host", "line_hash").agg(F.count("*").alias("n"))
     # a host has few rows here; its size is needed only for lines that pass the absolute limit
     above = counts.where(F.col("n") > rules.least_documents)
@@ -148,7 +146,7 @@ def apply(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text: s
     # the row's own key: ids may be null or repeat
     held = df.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     held = common.written(measured(held.withColumn("row_key", F.monotonically_increasing_id())), "quality")
-    often = common.cut(frequent_lines(held.select("host", "line_hash", "sketch"), rules))
+    often = common.cut(frequent_lines(held.select("host", "line_hash", "text_key"), rules))
     each = held.select("row_key", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("line")).select("row_key", "host", "line.line_hash", "line.line_words")
     same = lambda x, y: x.eqNullSafe(y)
     small = often.limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows
@@ -160,7 +158,7 @@ def apply(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text: s
         salt = F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))).alias("salt_")
         lost = each.withColumn("salt", F.pmod("row_key", F.lit(rules.salts)).cast("int")).join(right.select("*", salt), on & (F.col("salt") == F.col("salt_")))
     lost = lost.groupBy("row_key").agg(F.sum("line_words").cast("bigint").alias("n_boilerplate_words"))
-    base = held.drop("line_hash", "line_words", "sketch", "host")
+    base = held.drop("line_hash", "line_words", "text_key", "host")
     out = base.join(lost, "row_key", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)).cast("bigint"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     depleted = 100 * F.col("n_boilerplate_words") > rules.depleted_percent * F.col("n_words")

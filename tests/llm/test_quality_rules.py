@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -66,3 +67,21 @@ def test_stage_keeps_columns(spark, odd, documents):
     out = q.stage(spark, documents, "")
     kept = {r["doc_id"] for r in q.apply(documents).where("kept").collect()}
     assert {r["doc_id"] for r in out.collect()} == kept
+
+
+def test_documents_of_a_line_are_counted(spark):
+    """Footers of texts that pass the base rules; lines in any order; texts that are the same but for digits."""
+    rng = random.Random(7)
+    notice = [" ".join(f"notice{j}x{k}" for k in range(9)) for j in range(8)]
+    own = lambda i, n=9: " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}{k}" for k in range(n))
+    three = [" ".join(f"{c}{k}" for k in range(20)) for c in ("red", "green", "blue")]
+    rows = [(i, "\n".join([own(i), *notice]), "a") for i in range(100)]
+    rows += [(200 + i, "\n".join([*rng.sample(three, 3), own(i, 5)]), "b") for i in range(30)]
+    rows += [(300 + i, "\n".join(" ".join(f"form{j}{c} {i}" for c in "abcdefgh") for j in range(4)), "c") for i in range(10, 70)]
+    rows += [(400 + i, "\n".join([*notice, f"copy {i}"]), "d") for i in range(60)]
+    rows += [(500 + i, "\n".join([own(i), *notice]), "e") for i in range(20)]
+    out = {r["doc_id"]: r for r in q.apply(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    words = lambda low, n: {r["n_boilerplate_words"] for i, r in out.items() if low <= i < low + n}
+    assert words(0, 100) == {72} and words(200, 30) == {60} and words(300, 60) == {0} and words(400, 60) == {0} and words(500, 20) == {0}
+    assert {i for i, r in out.items() if r["kept"]} == set(range(310, 370)) | set(range(400, 460)) | set(range(500, 520))
