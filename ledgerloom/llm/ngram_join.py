@@ -300,8 +300,19 @@ def verified(pairs: DataFrame, held: DataFrame, join: Join, differ: bool = False
     return common.cut(dealt.mapInArrow(run, "member bigint, pivot bigint, n bigint, pivot_n bigint, linked boolean, near boolean, differ array<bigint>"))
 
 
+def families(tested: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All rows near the pivots that gained members by ``tested`` (``fresh``: by it, not by an earlier round), and the rows seen so far with them."""
+    fresh = tested.where("near").withColumn("fresh", F.lit(True))
+    old = fresh.withColumn("fresh", F.lit(False))
+    if seen is None:
+        return fresh, old
+    gained = fresh.select(F.col("pivot").alias("pivot_")).distinct()
+    return fresh.unionByName(seen.join(gained, F.col("pivot") == F.col("pivot_"), "left_semi")), seen.unionByName(old)
+
+
 def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
-    """member, pivot: the pairs of classes near one pivot that may be linked and are in different components.
+    """member, pivot: the pairs of classes near one pivot that may be linked and are in different components. ``tested``
+    holds all classes near each pivot; of those that met it in earlier rounds (not ``fresh``) pairs are settled.
 
     Let D be the elements in which a class differs from the pivot, and X = (100 + percent) * |D| - (100 - percent) * n.
     Two classes are linked just if 2 * (100 + percent) * |D & D'| >= X + X', since A and B differ in what D and D' do.
@@ -317,7 +328,7 @@ def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
     near = near.withColumn("tight", F.size("differ") - share(x + p + 1) + 1).withColumn("loose", F.when(F.col("far"), F.size("differ") - share(x - p) + 1))
     open_ = near.where("far").select(F.col("pivot").alias("pivot_")).distinct()
     near = near.join(open_, F.col("pivot") == F.col("pivot_"), "left_semi")
-    rows = near.select("pivot", "member", "n", "far", "tight", "loose", F.size("differ").alias("d"), F.explode("differ").alias("element"))
+    rows = near.select("pivot", "member", "n", "far", "fresh", "tight", "loose", F.size("differ").alias("d"), F.explode("differ").alias("element"))
     rows = common.written(rows, "differ")
     counts = rows.groupBy("pivot", "element").agg(F.count("*").alias("c")).where("c > 1")
     counts = counts.select(F.col("pivot").alias("pivot_"), F.col("element").alias("element_"), "c")
@@ -326,10 +337,11 @@ def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
     met = met.withColumn("rank", F.row_number().over(own.orderBy("c", "element")) + F.col("d") - F.count("*").over(own))
     met = met.where(F.col("rank") <= F.greatest("tight", F.coalesce("loose", F.lit(0))))
     met = met.join(state.select(F.col("class").alias("member"), "component"), "member")
-    met = common.cut(met.select("pivot", "element", "member", "n", "component", "far", (F.col("rank") <= F.col("tight")).alias("tight")))
+    met = common.cut(met.select("pivot", "element", "member", "n", "component", "far", "fresh", (F.col("rank") <= F.col("tight")).alias("tight")))
     other = met.select(*(F.col(c).alias(f"other_{c}") for c in met.columns)).where("other_far")
     same = (F.col("pivot") == F.col("other_pivot")) & (F.col("element") == F.col("other_element")) & (F.col("component") != F.col("other_component")) & F.col("tight")
     same &= F.when(F.col("far"), F.col("other_tight") & (F.col("member") < F.col("other_member"))).otherwise(F.lit(True))
+    same &= F.col("fresh") | F.col("other_fresh")
     same &= 100 * F.least("n", "other_n") >= join.percent * F.greatest("n", "other_n")
     return common.cut(met.join(other, same).select("member", F.col("other_member").alias("pivot")).distinct())
 
@@ -379,6 +391,7 @@ def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
     # near: the class and the pivots that it is near; apart: pivots that it was compared with and is not near
     state = wanted.select("class", "n").join(shares, "class").select("class", "n", "shares", F.col("class").alias("component"), F.lit(False).alias("linked"), F.lit(False).alias("used"))
     state = common.cut(state.withColumn("near", F.array("class")).withColumn("apart", F.array().cast("array<bigint>")).join(held.select("class", *PARITIES), "class"))
+    seen = None
     for _ in range(join.rounds):
         open_ = buckets.join(state, "class")
         first = F.min(F.struct("used", "linked", -F.col("shares"), F.xxhash64("class"), *state.columns))
@@ -399,7 +412,8 @@ def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
         for c in ("near", "apart"):
             state = state.withColumn(c, F.concat(c, F.coalesce(f"{c}_", F.array().cast("array<bigint>"))))
         state = common.cut(merged(common.cut(state.drop("linked_", "used_", "near_", "apart_")), tested.where("linked").select("member", "pivot")))
-        family = family_pairs(tested, state, join)
+        near, seen = families(tested, seen)
+        family = family_pairs(near, state, join)
         if not common.is_empty(family):
             state = common.cut(merged(state, verified(family, held, join).where("linked").select("member", "pivot")))
     # buckets of one component, or whose classes are all near one pivot, are settled

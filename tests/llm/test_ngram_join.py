@@ -125,3 +125,22 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint").where(F.col("a") != F.col("b"))
     got = {r["node"]: r["component"] for r in components(df).collect()}
     assert got == {x: find(x) for x in got} and set(got) == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_pivot_that_is_met_in_two_rounds(spark):
+    """A and B are linked and near P, which isn't linked with them: A since one round, B since a later one, C (linked with nothing) since the first too."""
+    word = lambda x: " ".join(f"w{k}" if k % 8 else f"{x}{k}" for k in range(100))
+    texts = {"p": " ".join(f"w{k}" for k in range(100)), "a": word("x"), "b": word("x") + " end", "c": word("y")}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id bigint, text string")
+    join = nj.Join(words=1, percent=90)
+    known = nj.sets(df, join)
+    p, a, b, c = (r["class"] for r in known.orderBy("doc_id").collect())
+    held = nj.contents(df, known, join)
+    state = known.select("class", F.col("class").alias("component"))
+    pairs = lambda *members: nj.verified(spark.createDataFrame([(m, p) for m in members], "member bigint, pivot bigint"), held, join, differ=True)
+    near, seen = nj.families(pairs(a, c), None)
+    assert {tuple(sorted((r["member"], r["pivot"]))) for r in nj.family_pairs(near, state, join).collect()} <= {tuple(sorted((a, c)))}
+    near, seen = nj.families(pairs(b), seen)
+    found = {tuple(sorted((r["member"], r["pivot"]))) for r in nj.family_pairs(near, state, join).collect()}
+    assert tuple(sorted((a, b))) in found and tuple(sorted((a, c))) not in found
+    assert seen.count() == 3 and not any(r["linked"] for r in seen.collect())
