@@ -85,3 +85,11 @@ def test_documents_of_a_line_are_counted(spark):
     words = lambda low, n: {r["n_boilerplate_words"] for i, r in out.items() if low <= i < low + n}
     assert words(0, 100) == {72} and words(200, 30) == {60} and words(300, 60) == {0} and words(400, 60) == {0} and words(500, 20) == {0}
     assert {i for i, r in out.items() if r["kept"]} == set(range(310, 370)) | set(range(400, 460)) | set(range(500, 520))
+
+
+def test_stage_with_null_and_repeated_ids(spark):
+    """A clean text without an id stays; of one id with two texts only the clean one does."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(80))
+    rows = [(None, text("a"), "h"), (None, text("b"), None), (None, "few words", "h"), (1, text("c"), "h"), (1, "few", "h")]
+    out = q.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "")
+    assert sorted(r["text"][:2] for r in out.collect()) == ["a0", "b0", "c0"]
