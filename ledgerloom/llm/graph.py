@@ -15,8 +15,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     all edges are stars. The number of rounds grows with the logarithm of the longest path. Each round is
     one aggregation by node (combined before the shuffle) and one join.
     """
+    scratch = common.Scratch(edges.sparkSession, "components")
     a, b = edges.columns
-    now = common.cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,8 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        new = common.cut(small)
+        new = scratch.keep(small)
         same = common.is_empty(new.join(now, ["u", "v"], "left_anti")) and common.is_empty(now.join(new, ["u", "v"], "left_anti"))
+        scratch.drop(now)
         now = new
         if same:
             break

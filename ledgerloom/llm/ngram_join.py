@@ -27,9 +27,11 @@ that are still unlinked. After ``rounds`` rounds the members of a bucket that ar
 compared with each other, but for pairs that were tested or had a pivot near both. Pairs whose ``parities`` differ in
 more bits than linked sets may differ in elements are never compared.
 
-Scale: the index is one row of 16 bytes for each segment, counted by a map-side combined aggregation; rows
-come back only for buckets of two classes or more. Contents travel once for each comparison round, to the
-pivot's partition, and a pivot with many members is spread over salts.
+Scale: texts are written once as chunks (see ``chunks``) and never shuffled. For each class one text sends its
+signatures, 4 bytes each, and gets back a bit for each that another class has too; only those become rows. Buckets of
+the same classes are one bucket with a weight. Shingles of compared texts are made anew in their chunk and
+travel once for each comparison, to the pivot's partition; a pivot with many members is spread over salts. Tables
+between steps are deleted when used.
 
 Defined results: null or blank text has an empty set, is linked with nothing and is its own component;
 rows that repeat a text (or an id) are in one component; null ids take part and are never a component's
@@ -49,6 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textkit
+from .chunks import SENT, Chunks, answered, fields, read, sent
 from .graph import components
 
 
@@ -171,112 +174,136 @@ def index_rows(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    """Batch, row and shingles of every row."""
-    for batch in batches:
-        data, offsets = textkit.buffers(batch.column(batch.schema.get_field_index("text")))
-        for low, high in textkit.rows_by_size(offsets):
-            part, base = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-            starts, _, hashes = textkit.words(part, base)
-            first = textkit.row_slices(starts, base)
-            for i in range(high - low):
-                yield batch, low + i, textkit.shingles(hashes[first[i] : first[i + 1]], words)
+def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """Shingles of every text."""
+    for low, high in textkit.rows_by_size(offsets):
+        part, base = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        starts, _, hashes = textkit.words(part, base)
+        first = textkit.row_slices(starts, base)
+        for i in range(high - low):
+            yield textkit.shingles(hashes[first[i] : first[i + 1]], words)
 
 
-def sets(df: DataFrame, join: Join) -> DataFrame:
-    """doc_id, text_key, n, class (null for an empty set) for each row of (doc_id, text)."""
-    words = join.words
+#: Columns of a set's parities: bit i of all tells whether it holds an odd number of elements of bin i.
+PARITIES = [f"parity{i}" for i in range(8)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ns, ids = [], []
-            for _, _, shingles in _texts(iter([batch]), words):
-                ns.append(len(shingles))
-                ids.append(set_id(shingles) if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "text_key", "n", "class"])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, n bigint, class bigint")
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Sets that differ in d elements differ in at most d of these bits."""
+    bins = 64 * len(PARITIES)
+    counts = np.bincount((shingles % np.uint64(bins)).astype(np.int64), minlength=bins)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def index(df: DataFrame, join: Join) -> DataFrame:
-    """signature, class, band, segment, counts, spare: the rows of the index, of all rows of (text)."""
-    words, percent = join.words, join.percent
-    names = ["signature", "class", "band", "segment", "counts", "spare"]
+def _measured(words: int) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
+    """n, class (null for an empty set) and parities of each text of a batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[list[np.ndarray]] = [[] for _ in names]
-            size = 0
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        ns, ids, odd = [], [], []
+        for shingles in _shingles(data, offsets, words):
+            ns.append(len(shingles))
+            ids.append(set_id(shingles) if len(shingles) else None)
+            odd.append(parities(shingles))
+        bits = np.array(odd, np.int64).reshape(-1, len(PARITIES))
+        return [pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in bits.T)]
 
-            def flush() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int8(), pa.int32()]
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(held, kinds)], names=names)
+    return run
 
-            for _, _, shingles in _texts(iter([batch]), words):
-                if not len(shingles):
-                    continue
-                name = set_id(shingles)
-                for band, signatures, segments, counts, spare in index_rows(shingles, percent):
-                    m = len(signatures)
-                    for column, x in zip(held, (signatures, np.full(m, name), np.full(m, band, np.int16), segments, counts, np.full(m, spare, np.int32))):
-                        column.append(x)
-                    size += m
-                if size > 200_000:
-                    yield flush()
-                    held, size = [[] for _ in names], 0
-            if size:
-                yield flush()
 
-    return df.select("text").mapInArrow(run, "signature bigint, class bigint, band smallint, segment int, counts tinyint, spare int")
+def _chunk_sets(ends: bytes, data: bytes, places: list[int], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Place and shingles of the texts of a chunk that stand at ``places``."""
+    ends, data = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8)
+    for place in sorted(places):
+        own = data[ends[place] : ends[place + 1]]
+        yield place, next(_shingles(own, np.array([0, len(own)], np.int64), words))
 
 
-#: Columns of a set's parities: bit i of all tells whether it holds an odd number of elements of bin i.
-PARITIES = [f"parity{i}" for i in range(8)]
+def index(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, bucket_names: int) -> DataFrame:
+    """signature, class, band, segment, counts, spare: the rows of the index whose signature two classes have.
+    ``classes``: the text that stands for each class (class, part, chunk, place) and the class's size ``n``."""
+    words, percent = join.words, join.percent
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits, kept = common.clamp(math.log2(max(1, 2 * total / bucket_names)), 4, 32), 32
+    names = ["signature", "class", "band", "segment", "counts", "spare"]
+    places = scratch.keep(classes.groupBy("part", "chunk").agg(F.collect_list("place").alias("places")).withColumn("bucket", F.lit(None).cast("bigint")).withColumn("met", F.lit(None).cast("binary")))
+
+    def of(told: list[dict]) -> list[int]:
+        return [p for t in told if t["bucket"] is None for p in t["places"]]
+
+    def sets(ends: bytes, data: bytes, told: list[dict]) -> Iterator[tuple[int, list]]:
+        for place, shingles in _chunk_sets(ends, data, of(told), words):
+            yield set_id(shingles), index_rows(shingles, percent)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, chunk, ends, data, told in fields(batches, "part", "chunk", "ends", "data", "told"):
+            held = [np.unique(np.concatenate([signatures for _, signatures, _, _, _ in rows])) for _, rows in sets(ends, data, told)]
+            if held:
+                yield sent(part, chunk, np.concatenate(held).view(np.uint64), bits, kept)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int8(), pa.int32()]
+        for ends, data, told in fields(batches, "ends", "data", "told"):
+            columns: list[list[np.ndarray]] = [[] for _ in names]
+            for name, rows in sets(ends, data, told):
+                own = [np.concatenate([r[1] for r in rows])]
+                own += [np.full(len(own[0]), name)]
+                own += [np.concatenate([np.full(len(r[1]), r[0], np.int16) for r in rows]), np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])]
+                own += [np.concatenate([np.full(len(r[1]), r[4], np.int32) for r in rows])]
+                once = np.sort(np.unique(own[0], return_index=True)[1])
+                for column, x in zip(columns, own):
+                    column.append(x[once])
+            if columns[0]:
+                whole = [np.concatenate(x) for x in columns]
+                met = read(whole[0].view(np.uint64), bits, kept, [t for t in told if t["bucket"] is not None])
+                yield pa.RecordBatch.from_arrays([pa.array(x[met], k) for x, k in zip(whole, kinds)], names=names)
+
+    answers = scratch.keep(answered(chunks.told(places, "inner").mapInArrow(first, SENT), kept).withColumn("places", F.lit(None).cast("array<int>")))
+    scratch.swept()
+    out = scratch.keep(chunks.told(places.unionByName(answers), "inner").mapInArrow(second, "signature bigint, class bigint, band smallint, segment int, counts tinyint, spare int"))
+    scratch.drop(places, answers)
+    return out
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Sets that differ in d elements differ in at most d of these bits."""
-    bins = 64 * len(PARITIES)
-    counts = np.bincount((shingles % np.uint64(bins)).astype(np.int64), minlength=bins)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+_BATCH_BYTES = 8 << 20
+_DEALT = pa.schema([("pivot", pa.int64()), ("salt", pa.int64()), ("is_member", pa.int32()), ("member", pa.int64()), ("shingles", pa.binary())])
 
 
-def contents(df: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """class, shingles (binary, sorted 64-bit) and parities of the classes of ``wanted`` (class, text_key: one text each)."""
-    words = join.words
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, held, odd = [], [], []
-            for _, _, shingles in _texts(iter([batch]), words):
-                if len(shingles):
-                    ids.append(set_id(shingles))
-                    held.append(shingles.tobytes())
-                    odd.append(parities(shingles))
-            bits = np.array(odd, np.int64).reshape(-1, len(PARITIES))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary()), *(pa.array(x, pa.int64()) for x in bits.T)], names=["class", "shingles", *PARITIES])
-
-    keys = wanted.select(F.col("text_key").alias("key_"))
-    keys = F.broadcast(keys) if wanted.limit(join.broadcast_rows + 1).count() <= join.broadcast_rows else keys
-    texts = df.select("text", F.xxhash64("text").alias("key_")).join(keys, "key_", "left_semi")
-    # copies of a text meet again here; one is kept
-    return common.written(texts.select("text").mapInArrow(run, ", ".join(["class bigint, shingles binary", *(f"{c} bigint" for c in PARITIES)])).dropDuplicates(["class"]), "contents")
-
-
-def verified(pairs: DataFrame, held: DataFrame, join: Join, differ: bool = False) -> DataFrame:
-    """member, pivot, n, pivot_n (sizes), linked, near, differ of all pairs. Contents go once to the pivot's partition; a
-    pivot of many members has several. ``near``: they share half of their union at least; then ``differ``, if asked for,
-    holds the elements of just one of the two."""
-    percent = join.percent
+
+def verified(pairs: DataFrame, chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, differ: bool = False) -> DataFrame:
+    """member, pivot, n, pivot_n (sizes), linked, near, differ of all pairs. Shingles are made anew from the ``chunks`` and go to
+    the pivot's partition; a pivot of many members has several. ``near``: they share half of their union at least; then
+    ``differ``, if asked for, holds the elements of just one of the two."""
+    percent, words = join.percent, join.words
     salts = pairs.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > join.salt_rows)
     salts = salts.select("pivot", F.ceil(F.col("c") / join.salt_rows).alias("salts"))
     pairs = pairs.join(salts, "pivot", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("member"), "salts"), F.lit(0)))
-    pairs = common.cut(pairs.select("member", "pivot", "salt"))
-    members = pairs.join(held.withColumnRenamed("class", "member"), "member").select("pivot", "salt", F.lit(1).alias("is_member"), "member", "shingles")
-    pivots = pairs.select("pivot", "salt").distinct().join(held.withColumnRenamed("class", "pivot"), "pivot")
-    pivots = pivots.select("pivot", "salt", F.lit(0).alias("is_member"), F.col("pivot").alias("member"), "shingles")
-    dealt = members.unionByName(pivots).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "is_member")
+    pairs = scratch.keep(pairs.select("member", "pivot", "salt"))
+    asked = pairs.select(F.col("member").alias("class"), "pivot", "salt", F.lit(1).alias("is_member"))
+    asked = asked.unionByName(pairs.select(F.col("pivot").alias("class"), "pivot", "salt", F.lit(0).alias("is_member")).distinct())
+    asked = asked.join(classes.select("class", "part", "chunk", "place"), "class")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ends, data, told in fields(batches, "ends", "data", "told"):
+            by: dict[int, list[dict]] = {}
+            for t in told:
+                by.setdefault(t["place"], []).append(t)
+            rows, size = [], 0
+            for place, shingles in _chunk_sets(ends, data, list(by), words):
+                raw = shingles.tobytes()
+                for t in by[place]:
+                    rows.append((t["pivot"], t["salt"], t["is_member"], t["class"], raw))
+                    size += len(raw)
+                    if size > _BATCH_BYTES:
+                        yield _batch(rows, _DEALT)
+                        rows, size = [], 0
+            if rows:
+                yield _batch(rows, _DEALT)
+
+    dealt = chunks.told(asked, "inner").mapInArrow(made, "pivot bigint, salt bigint, is_member int, member bigint, shingles binary")
+    dealt = dealt.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "is_member")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
     names = ["member", "pivot", "n", "pivot_n", "linked", "near", "differ"]
 
@@ -297,7 +324,9 @@ def verified(pairs: DataFrame, held: DataFrame, join: Join, differ: bool = False
                 found.append((member, pivot, len(got), len(own), 100 * both >= percent * union, near, apart))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found) if found else [[]] * len(kinds), kinds)], names=names)
 
-    return common.cut(dealt.mapInArrow(run, "member bigint, pivot bigint, n bigint, pivot_n bigint, linked boolean, near boolean, differ array<bigint>"))
+    out = scratch.keep(dealt.mapInArrow(run, "member bigint, pivot bigint, n bigint, pivot_n bigint, linked boolean, near boolean, differ array<bigint>"))
+    scratch.drop(pairs)
+    return out
 
 
 def families(tested: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -310,7 +339,7 @@ def families(tested: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, Data
     return fresh.unionByName(seen.join(gained, F.col("pivot") == F.col("pivot_"), "left_semi")), seen.unionByName(old)
 
 
-def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
+def family_pairs(tested: DataFrame, state: DataFrame, join: Join, scratch: common.Scratch) -> DataFrame:
     """member, pivot: the pairs of classes near one pivot that may be linked and are in different components. ``tested``
     holds all classes near each pivot; of those that met it in earlier rounds (not ``fresh``) pairs are settled.
 
@@ -329,7 +358,7 @@ def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
     open_ = near.where("far").select(F.col("pivot").alias("pivot_")).distinct()
     near = near.join(open_, F.col("pivot") == F.col("pivot_"), "left_semi")
     rows = near.select("pivot", "member", "n", "far", "fresh", "tight", "loose", F.size("differ").alias("d"), F.explode("differ").alias("element"))
-    rows = common.written(rows, "differ")
+    rows = scratch.keep(rows)
     counts = rows.groupBy("pivot", "element").agg(F.count("*").alias("c")).where("c > 1")
     counts = counts.select(F.col("pivot").alias("pivot_"), F.col("element").alias("element_"), "c")
     met = rows.join(counts, (F.col("pivot") == F.col("pivot_")) & (F.col("element") == F.col("element_"))).drop("pivot_", "element_")
@@ -337,13 +366,15 @@ def family_pairs(tested: DataFrame, state: DataFrame, join: Join) -> DataFrame:
     met = met.withColumn("rank", F.row_number().over(own.orderBy("c", "element")) + F.col("d") - F.count("*").over(own))
     met = met.where(F.col("rank") <= F.greatest("tight", F.coalesce("loose", F.lit(0))))
     met = met.join(state.select(F.col("class").alias("member"), "component"), "member")
-    met = common.cut(met.select("pivot", "element", "member", "n", "component", "far", "fresh", (F.col("rank") <= F.col("tight")).alias("tight")))
+    met = scratch.keep(met.select("pivot", "element", "member", "n", "component", "far", "fresh", (F.col("rank") <= F.col("tight")).alias("tight")))
     other = met.select(*(F.col(c).alias(f"other_{c}") for c in met.columns)).where("other_far")
     same = (F.col("pivot") == F.col("other_pivot")) & (F.col("element") == F.col("other_element")) & (F.col("component") != F.col("other_component")) & F.col("tight")
     same &= F.when(F.col("far"), F.col("other_tight") & (F.col("member") < F.col("other_member"))).otherwise(F.lit(True))
     same &= F.col("fresh") | F.col("other_fresh")
     same &= 100 * F.least("n", "other_n") >= join.percent * F.greatest("n", "other_n")
-    return common.cut(met.join(other, same).select("member", F.col("other_member").alias("pivot")).distinct())
+    out = scratch.keep(met.join(other, same).select("member", F.col("other_member").alias("pivot")).distinct())
+    scratch.drop(rows, met)
+    return out
 
 
 def worth(a: Callable[[str], Column], b: Callable[[str], Column], join: Join) -> Column:
@@ -364,93 +395,116 @@ def merged(state: DataFrame, found: DataFrame) -> DataFrame:
     return state.join(new, "component", "left").withColumn("component", F.coalesce("new_", "component")).drop("new_")
 
 
-def links(df: DataFrame, known: DataFrame, join: Join) -> DataFrame | None:
-    """class, component of the classes that are linked with another. ``known``: text_key, n, class of all rows."""
-    df = df.select("text")
-    rows = index(df, join)
-    shared = rows.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("c")).where("low <> high")
-    shared = shared.select(F.col("signature").alias("signature_"), "c")
-    met = rows.join(shared, F.col("signature") == F.col("signature_")).drop("signature_")
-    met = common.written(met.dropDuplicates(["signature", "class"]), "buckets")
-    if common.is_empty(met):
-        return None
+def buckets(met: DataFrame, join: Join, scratch: common.Scratch) -> DataFrame:
+    """signature, weight, class: the classes that share rows of the index ``met``. Of rows that the same classes have one
+    stays, and ``weight`` tells their number."""
+    sizes = met.groupBy("signature").agg(F.count("*").alias("classes")).where("classes > 1").withColumnRenamed("signature", "signature_")
     # segments in many classes are left out where the set's other segments suffice
-    classes = met.groupBy("signature").agg(F.count("*").alias("classes")).where(F.col("classes") > join.hot).withColumnRenamed("signature", "hot_")
-    marked = met.join(F.broadcast(classes) if _small(classes, join) else classes, F.col("signature") == F.col("hot_"), "left")
-    lost = marked.where("hot_ is not null").groupBy("class", "band", "segment").agg(F.first("counts").alias("counts"), F.first("spare").alias("spare"))
+    marked = scratch.keep(met.join(sizes, F.col("signature") == F.col("signature_")).withColumn("hot", F.col("classes") > join.hot).drop("signature_", "classes"))
+    lost = marked.where("hot").groupBy("class", "band", "segment").agg(F.first("counts").alias("counts"), F.first("spare").alias("spare"))
     lost = lost.groupBy("class", "band").agg(F.sum("counts").alias("lost"), F.min("spare").alias("spare_"))
     lost = lost.where("spare_ >= lost").select(F.col("class").alias("class_"), F.col("band").alias("band_"))
-    enough = marked.where("hot_ is not null").join(lost, (F.col("class") == F.col("class_")) & (F.col("band") == F.col("band_")), "left_anti")
-    buckets = marked.where("hot_ is null").select("signature", "class").unionByName(enough.select("signature", "class"))
-    buckets = common.cut(buckets)
-    wanted = known.where("class is not null").join(buckets.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"))
-    wanted = common.cut(wanted)
-    held = contents(df, wanted, join)
-    shares = buckets.groupBy("signature").agg(F.count("*").alias("c")).withColumnRenamed("signature", "signature_")
-    shares = buckets.join(shares, F.col("signature") == F.col("signature_")).groupBy("class").agg(F.sum("c").alias("shares"))
+    enough = marked.where("hot").join(lost, (F.col("class") == F.col("class_")) & (F.col("band") == F.col("band_")), "left_anti")
+    rows = scratch.keep(marked.where("not hot").select("signature", "class").unionByName(enough.select("signature", "class")))
+    scratch.drop(marked)
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "class")).alias(f"of{k}") for k in (1, 2)]
+    prints = rows.groupBy("signature").agg(F.count("*").alias("classes"), *same).where("classes > 1")
+    prints = prints.groupBy("classes", "of1", "of2").agg(F.min("signature").alias("signature_"), F.count("*").alias("weight")).select("signature_", "weight")
+    out = scratch.keep(rows.join(prints, F.col("signature") == F.col("signature_")).select("signature", "weight", "class"))
+    scratch.drop(rows)
+    return out
+
+
+def links(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, bucket_names: int) -> DataFrame | None:
+    """class, component of the classes that share a bucket with another. ``classes``: class, n, part, chunk, place and parities."""
+    met = index(chunks, classes, join, scratch, bucket_names)
+    shared = buckets(met, join, scratch)
+    scratch.drop(met)
+    scratch.swept()
+    if common.is_empty(shared):
+        return None
+    shares = shared.groupBy("signature").agg((F.count("*") * F.first("weight")).alias("c")).withColumnRenamed("signature", "signature_")
+    shares = shared.join(shares, F.col("signature") == F.col("signature_")).groupBy("class").agg(F.sum("c").alias("shares"))
     # near: the class and the pivots that it is near; apart: pivots that it was compared with and is not near
-    state = wanted.select("class", "n").join(shares, "class").select("class", "n", "shares", F.col("class").alias("component"), F.lit(False).alias("linked"), F.lit(False).alias("used"))
-    state = common.cut(state.withColumn("near", F.array("class")).withColumn("apart", F.array().cast("array<bigint>")).join(held.select("class", *PARITIES), "class"))
+    state = classes.select("class", "n", *PARITIES).join(shares, "class").withColumns({"component": F.col("class"), "linked": F.lit(False), "used": F.lit(False), "near": F.array("class")})
+    state = scratch.keep(state.withColumn("apart", F.array().cast("array<bigint>")))
     seen = None
     for _ in range(join.rounds):
-        open_ = buckets.join(state, "class")
+        open_ = shared.join(state, "class")
         first = F.min(F.struct("used", "linked", -F.col("shares"), F.xxhash64("class"), *state.columns))
         heads = open_.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), first.alias("head")).where("x <> y").select(F.col("signature").alias("signature_"), "head")
         pairs = open_.join(heads, (F.col("signature") == F.col("signature_")) & worth(F.col, lambda c: F.col("head")[c], join))
-        pairs = common.cut(pairs.groupBy(F.col("class").alias("member"), F.col("head.class").alias("pivot")).agg(F.count("*").alias("votes")))
-        if common.is_empty(pairs):  # what others of the buckets may hold is left to the last comparison
+        votes = scratch.keep(pairs.groupBy(F.col("class").alias("member"), F.col("head.class").alias("pivot")).agg(F.sum("weight").alias("votes")))
+        if common.is_empty(votes):  # what others of the buckets may hold is left to the last comparison
             break
         # a member meets the pivots of most members, so that a group's members have pivots in common
-        known_by = pairs.groupBy("pivot").agg(F.count("*").alias("members"))
+        known_by = votes.groupBy("pivot").agg(F.count("*").alias("members"))
         place = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("members"), F.desc("votes"), "pivot"))
-        pairs = pairs.join(known_by, "pivot").withColumn("place", place).where(F.col("place") <= join.pivots).select("member", "pivot")
-        tested = verified(pairs, held, join, differ=True)
+        pairs = votes.join(known_by, "pivot").withColumn("place_", place).where(F.col("place_") <= join.pivots).select("member", "pivot")
+        tested = verified(pairs, chunks, classes, join, scratch, differ=True)
         own = tested.groupBy(F.col("member").alias("class")).agg(F.max("linked").alias("linked_"), *(F.collect_list(F.when(ok, F.col("pivot"))).alias(c) for c, ok in (("near_", F.col("near")), ("apart_", ~F.col("near")))))
         used = tested.select(F.col("pivot").alias("class"), F.lit(True).alias("used_")).distinct()
-        state = state.join(own, "class", "left").join(used, "class", "left")
-        state = state.withColumn("linked", F.col("linked") | F.coalesce("linked_", F.lit(False))).withColumn("used", F.col("used") | F.coalesce("used_", F.lit(False)))
+        told = state.join(own, "class", "left").join(used, "class", "left")
+        told = told.withColumn("linked", F.col("linked") | F.coalesce("linked_", F.lit(False))).withColumn("used", F.col("used") | F.coalesce("used_", F.lit(False)))
         for c in ("near", "apart"):
-            state = state.withColumn(c, F.concat(c, F.coalesce(f"{c}_", F.array().cast("array<bigint>"))))
-        state = common.cut(merged(common.cut(state.drop("linked_", "used_", "near_", "apart_")), tested.where("linked").select("member", "pivot")))
+            told = told.withColumn(c, F.concat(c, F.coalesce(f"{c}_", F.array().cast("array<bigint>"))))
+        state = scratch.keep(merged(scratch.keep(told.drop("linked_", "used_", "near_", "apart_")), tested.where("linked").select("member", "pivot")))
         near, seen = families(tested, seen)
-        family = family_pairs(near, state, join)
+        family = family_pairs(near, state, join, scratch)
         if not common.is_empty(family):
-            state = common.cut(merged(state, verified(family, held, join).where("linked").select("member", "pivot")))
+            state = scratch.keep(merged(state, verified(family, chunks, classes, join, scratch).where("linked").select("member", "pivot")))
+        seen = scratch.keep(seen)
+        scratch.rest(shared, state, seen)
+        scratch.swept()
     # buckets of one component, or whose classes are all near one pivot, are settled
-    open_ = buckets.join(state, "class")
+    open_ = shared.join(state, "class")
     sizes = open_.groupBy("signature").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(F.col("signature").alias("signature_"), "c")
     near = open_.select("signature", F.explode("near").alias("pivot")).groupBy("signature", "pivot").agg(F.count("*").alias("c")).groupBy("signature").agg(F.max("c").alias("most"))
     left = sizes.join(near, F.col("signature") == F.col("signature_")).where("most < c").select("signature_")
-    open_ = open_.join(left, F.col("signature") == F.col("signature_"), "left_semi")
-    open_ = common.cut(open_)
+    open_ = scratch.keep(open_.join(left, F.col("signature") == F.col("signature_"), "left_semi"))
     other = open_.select(*(F.col(c).alias(f"other_{c}") for c in open_.columns))
     same = (F.col("signature") == F.col("other_signature")) & (F.col("class") < F.col("other_class"))
     pairs = open_.join(other, same & worth(F.col, lambda c: F.col(f"other_{c}"), join))
-    pairs = common.cut(pairs.select(F.col("class").alias("member"), F.col("other_class").alias("pivot")).distinct())
+    pairs = scratch.keep(pairs.select(F.col("class").alias("member"), F.col("other_class").alias("pivot")).distinct())
+    scratch.drop(open_)
     if not common.is_empty(pairs):
-        state = merged(state, verified(pairs, held, join).where("linked").select("member", "pivot"))
-    return state.select("class", "component")
-
-
-def _small(df: DataFrame, join: Join) -> bool:
-    return df.limit(join.broadcast_rows + 1).count() <= join.broadcast_rows
+        state = merged(state, verified(pairs, chunks, classes, join, scratch).where("linked").select("member", "pivot"))
+    return scratch.keep(state.select("class", "component"))
+
+
+def grouped(df: DataFrame, join: Join, chunk_bytes: int = 4 << 20, bucket_names: int = 1 << 20) -> DataFrame:
+    """doc_id, text_key, n, component (null for an empty set), component_id for each row of (doc_id, text)."""
+    scratch = common.Scratch(df.sparkSession, "ngram_join")
+    measured = ", ".join(f"{c}: bigint" for c in ("n", "class", *PARITIES))
+    chunks = Chunks(df.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), chunk_bytes, measured, _measured(join.words))
+    rows = chunks.table.select("part", "chunk", F.posexplode("rows").alias("place", "row"))
+    known = scratch.keep(rows.select("part", "chunk", "place", "row.*"))
+    at = F.min(F.struct("part", "chunk", "place", *PARITIES)).alias("at")
+    classes = known.where("class is not null").groupBy("class").agg(at, F.max("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
+    classes = scratch.keep(classes.select("class", "n", "rows", "first_id", "at.*"))
+    steps = common.Scratch(df.sparkSession, "links")
+    state = links(chunks, classes, join, steps, bucket_names)
+    chunks.drop()
+    if state is None:
+        state = classes.select("class", F.col("class").alias("component")).limit(0)
+    total, count = classes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    joined = classes.select("class", "rows", "first_id").join(state, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    joined = scratch.keep(joined)
+    names = common.heavy(joined.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("c")), "c", count).drop("c")
+    named = common.spread_join(joined.select("class", "component", "rows"), scratch.keep(names), "component")
+    named = scratch.keep(common.heavy(named, "rows", total).drop("rows"))
+    empty = known.where("class is null").select("doc_id", "text_key", "n", F.lit(None).cast("bigint").alias("component"), F.col("doc_id").alias("component_id"))
+    out = common.spread_join(known.where("class is not null").select("doc_id", "text_key", "n", "class"), named, "class").select(*empty.columns)
+    steps.rest()
+    scratch.rest(known, named)
+    scratch.swept()
+    return out.unionByName(empty)
 
 
 def apply(df: DataFrame, join: Join = Join(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the component) for each row of ``df``."""
-    df = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    known = common.cut(sets(df, join))
-    state = links(df, known.select("text_key", "n", "class"), join)
-    named = known.select("doc_id", "n", "class")
-    if state is None:
-        named = named.withColumn("component", F.col("class"))
-    else:
-        state = state.withColumnRenamed("class", "class_")
-        named = named.join(state, F.col("class") == F.col("class_"), "left").withColumn("component", F.coalesce("component", "class")).drop("class_")
-    # components are named by an aggregation and a join that spread; those without a class name themselves
-    names = named.where("class is not null").groupBy(F.col("component").alias("component_")).agg(F.min("doc_id").alias("component_id"))
-    out = named.join(names, F.col("component") == F.col("component_"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = grouped(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), join)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -458,13 +512,21 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Texts without words stay."""
-    found = common.cut(apply(docs, Join()))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if common.is_empty(found.groupBy("doc_id").count().where("count > 1")):
-        return out
-    return out.withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))).where("nth_ = 1").drop("nth_")
+    """One document of each group of near duplicates: the one with the smallest id (a null id comes last), of several such the
+    one with the smallest hash of its text. Texts without words all stay. Rows are known by id and text, so ids may be null or repeat."""
+    scratch = common.Scratch(spark, "near_duplicates")
+    found = scratch.keep(grouped(docs.select("doc_id", "text"), Join()).where("component is not null").groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("rows")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    groups = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("c"))
+    groups = scratch.keep(common.heavy(groups, "c", found.count()).drop("c"))
+    verdicts = common.spread_join(found, groups, "component").withColumn("kept", order.eqNullSafe(F.col("first")))
+    # what goes, and what is one of several rows of the same id and text
+    other = scratch.keep(verdicts.where("not kept or rows > 1").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("key_"))
+    lone = docs.join(common.bounded(other.drop("kept"), 1_000_000), same, "left_anti")
+    again = docs.join(common.bounded(other.where("kept").drop("kept"), 1_000_000), same, "left_semi")
+    first = again.groupBy("doc_id", F.xxhash64("text").alias("key_")).agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    return lone.unionByName(first)
 
 
 ORACLE_SQL = """

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import common
 from ledgerloom.llm import ngram_join as nj
+from ledgerloom.llm.chunks import Chunks
 from ledgerloom.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,14 +135,15 @@ def test_pivot_that_is_met_in_two_rounds(spark):
     texts = {"p": " ".join(f"w{k}" for k in range(100)), "a": word("x"), "b": word("x") + " end", "c": word("y")}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id bigint, text string")
     join = nj.Join(words=1, percent=90)
-    known = nj.sets(df, join)
+    scratch = common.Scratch(spark, "test")
+    chunks = Chunks(df, 1 << 20, ", ".join(f"{c}: bigint" for c in ("n", "class", *nj.PARITIES)), nj._measured(1))
+    known = scratch.keep(chunks.table.select("part", "chunk", F.posexplode("rows").alias("place", "row")).select("part", "chunk", "place", "row.*"))
     p, a, b, c = (r["class"] for r in known.orderBy("doc_id").collect())
-    held = nj.contents(df, known, join)
     state = known.select("class", F.col("class").alias("component"))
-    pairs = lambda *members: nj.verified(spark.createDataFrame([(m, p) for m in members], "member bigint, pivot bigint"), held, join, differ=True)
+    pairs = lambda *members: nj.verified(spark.createDataFrame([(m, p) for m in members], "member bigint, pivot bigint"), chunks, known, join, scratch, differ=True)
     near, seen = nj.families(pairs(a, c), None)
-    assert {tuple(sorted((r["member"], r["pivot"]))) for r in nj.family_pairs(near, state, join).collect()} <= {tuple(sorted((a, c)))}
+    assert {tuple(sorted((r["member"], r["pivot"]))) for r in nj.family_pairs(near, state, join, scratch).collect()} <= {tuple(sorted((a, c)))}
     near, seen = nj.families(pairs(b), seen)
-    found = {tuple(sorted((r["member"], r["pivot"]))) for r in nj.family_pairs(near, state, join).collect()}
+    found = {tuple(sorted((r["member"], r["pivot"]))) for r in nj.family_pairs(near, state, join, scratch).collect()}
     assert tuple(sorted((a, b))) in found and tuple(sorted((a, c))) not in found
     assert seen.count() == 3 and not any(r["linked"] for r in seen.collect())
