@@ -63,27 +63,34 @@ class Block:
     rare: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple], seed_words: int, found: dict[int, int] | None = None, rare: set[tuple[int, int]] = frozenset()) -> Block:
-        """``rows``: id, text. ``found``: the seeds to hold; all if there are none. ``rare``: (item's number, seed) pairs."""
-        held, seeds, items, places, marks = [], [], [], [], []
+    def of(rows: list[tuple], leaks: Leaks, found: tuple[np.ndarray, np.ndarray] | None = None) -> Block:
+        """``rows``: id, text. ``found``: the seeds that documents hold (sorted) and by how many; only those are held then.
+
+        Of an item's found seeds the rarer ``rare_share`` are rare, ``least_seeds`` at least, with all that tie with the last."""
+        held, seeds, items, places = [], [], [], []
         for k, (_, text) in enumerate(rows):
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            hashes = _words(raw, np.array([0, len(raw)]))[2]
-            held.append(hashes)
-            grams = textkit.grams(hashes, seed_words).view(np.int64)
-            at = np.arange(len(grams))
-            if found is not None:
-                at = np.array([p for p, g in enumerate(grams.tolist()) if g in found], np.int64)
-            seeds.append(grams[at])
-            items.append(np.full(len(at), k))
-            places.append(at)
-            marks.append(np.array([(k, g) in rare for g in grams[at].tolist()], bool))
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        seeds, items, places = cat(seeds, np.int64), cat(items, np.int64), cat(places, np.int64)
-        marks = cat(marks, bool)
+            held.append(_words(raw, np.array([0, len(raw)]))[2])
+            grams = textkit.grams(held[-1], leaks.seed_words).view(np.int64)
+            seeds.append(grams)
+            items.append(np.full(len(grams), k))
+            places.append(np.arange(len(grams)))
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        seeds, items, places = cat(seeds), cat(items), cat(places)
+        rare = np.zeros(len(seeds), bool)
+        if found is not None:
+            at, number = _found(found[0], seeds) if len(found[0]) else (np.zeros(0, np.int64),) * 2
+            seeds, items, places, counts = seeds[at], items[at], places[at], found[1][number]
+            # each seed of an item once, the item's rarest first
+            once = np.unique(np.stack([items, counts, seeds]), axis=1) if len(at) else np.zeros((3, 0), np.int64)
+            held_items, first, own = np.unique(once[0], return_index=True, return_counts=True)
+            place = np.minimum(own, np.maximum(leaks.least_seeds, np.ceil(own * leaks.rare_share).astype(np.int64)))
+            last = np.zeros(len(rows), np.int64)
+            last[held_items] = once[1][first + place - 1]
+            rare = counts <= last[items]
         order = np.argsort(seeds, kind="stable")
         distinct, first = np.unique(seeds[order], return_index=True)
-        return Block([r[0] for r in rows], held, distinct, np.append(first, len(seeds)), items[order], places[order], marks[order])
+        return Block([r[0] for r in rows], held, distinct, np.append(first, len(seeds)), items[order], places[order], rare[order])
 
 
 def _documents(batch: pa.RecordBatch, seed_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -107,8 +114,8 @@ def _found(seeds: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hit, at[hit]
 
 
-def seed_counts(docs: DataFrame, block: Block, leaks: Leaks) -> dict[int, int]:
-    """For each seed of ``block`` the number of documents that hold it (a row for each seed comes back)."""
+def seed_counts(docs: DataFrame, block: Block, leaks: Leaks) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of ``block`` that documents hold, sorted, and by how many. (16 bytes for each come to the driver.)"""
     seeds = docs.sparkSession.sparkContext.broadcast(block.seeds)
     n = leaks.seed_words
 
@@ -120,22 +127,10 @@ def seed_counts(docs: DataFrame, block: Block, leaks: Leaks) -> dict[int, int]:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seeds.value[some]), pa.array(counts[some])], names=["seed", "n"])
 
-    out = docs.select("text").mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in out.collect()}
-
-
-def rare(block: Block, counts: dict[int, int], leaks: Leaks) -> set[tuple[int, int]]:
-    """(item, seed) pairs of the seeds that are rare among those of their item that documents hold."""
-    by_item: dict[int, set[int]] = {}
-    for s, a, b in zip(block.seeds.tolist(), block.first[:-1].tolist(), block.first[1:].tolist()):
-        for k in block.item[a:b].tolist() if s in counts else ():
-            by_item.setdefault(k, set()).add(s)
-    kept = set()
-    for k, own in by_item.items():
-        line = sorted(counts[s] for s in own)
-        last = line[min(len(line), max(leaks.least_seeds, int(np.ceil(len(line) * leaks.rare_share)))) - 1]
-        kept |= {(k, s) for s in own if counts[s] <= last}
-    return kept
+    out = docs.select("text").mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    found, counts = out["seed"].to_numpy(), out["n"].to_numpy()
+    order = np.argsort(found)
+    return found[order], counts[order]
 
 
 def align(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +242,13 @@ def apply(df: DataFrame, benchmark: DataFrame, leaks: Leaks = Leaks(), id_col: s
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k)
         rows = [tuple(r) for r in mine.collect()]  # about block_bytes of text
-        block = Block.of(rows, leaks.seed_words)
+        block = Block.of(rows, leaks)
         if not len(block.seeds):
             continue
-        counts = seed_counts(docs, block, leaks)
-        if not counts:
+        found = seed_counts(docs, block, leaks)
+        if not len(found[0]):
             continue
-        block = Block.of(rows, leaks.seed_words, counts, rare(block, counts, leaks))
+        block = Block.of(rows, leaks, found)
         names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"item bigint, item_id {kind}")
         out.append(common.cut(pairs(docs, block, leaks).join(F.broadcast(names), "item").select("doc_id", "item_id", "score", "end_word")))
     if not out:
@@ -269,6 +264,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item. Rows that share an id share its verdict."""
-    found = apply(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(common.bounded(common.cut(found), 1_000_000), F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    """The documents that hold no benchmark item. Rows are known by id and text, so ids may be null or repeat."""
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row_id"), "text")
+    found = apply(named, common.table(spark, sf_dir, "benchmark"), id_col="row_id").select(F.col("doc_id").alias("leaked_")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("leaked_.doc_id")) & (F.xxhash64("text") == F.col("leaked_.text_hash"))
+    return docs.join(common.bounded(common.cut(found), 1_000_000), same, "left_anti")

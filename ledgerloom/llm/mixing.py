@@ -77,12 +77,12 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def _laid_out(docs: DataFrame, buckets: int, mix: Mix) -> DataFrame:
     """Adds ``begin``: the place of the document's first word in its source's stream."""
-    bucket = F.pmod(F.xxhash64(F.lit(mix.seed), "doc_id", "size"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.lit(mix.seed), "doc_id", "text_key"), F.lit(buckets)).cast("int")
     docs = docs.withColumn("bucket", bucket)
     sums = docs.groupBy("nth", "bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("nth").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("nth", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("nth", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("nth", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return docs.withColumn("upto", F.sum("size").over(inside)).join(sums, ["nth", "bucket"]).withColumn("begin", F.col("first") + F.col("upto") - F.col("size"))
 
 
@@ -96,10 +96,12 @@ def _by_band(slots: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds ``name``: 0, 1, .. inside each ``key`` in (shard, slot) order; counts per shard first, then inside a shard."""
-    counts = rows.groupBy(key, "shard").agg(F.count("*").alias("c"))
-    before = Window.partitionBy(key).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(key, "shard", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+    """Adds ``name``: 0, 1, .. inside each ``key`` in (shard, slot) order; counts per run of shards first, then per shard, then inside a shard."""
+    counts = rows.groupBy(key, "shard").agg(F.count("*").alias("c")).withColumn("run", F.floor(F.col("shard") / 4096))
+    runs = counts.groupBy(key, "run").agg(F.sum("c").alias("s"))
+    before = lambda keys, order, c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(key, "run", before([key], "run", "s").alias("upto"))
+    counts = counts.withColumn("inner", before([key, "run"], "shard", "c")).join(runs, [key, "run"]).select(key, "shard", (F.col("upto") + F.col("inner")).alias("first"))
     inside = Window.partitionBy(key, "shard").orderBy("slot")
     return rows.withColumn("r", F.row_number().over(inside)).join(counts, [key, "shard"]).withColumn(name, F.col("first") + F.col("r") - 1).drop("r", "first")
 
@@ -133,10 +135,13 @@ def _few(df: DataFrame, most: int = 100_000) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def apply(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``df`` (and ``row_key``, ``source``)."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"))
-    rows = common.cut(rows.withColumn("row_key", F.monotonically_increasing_id()))
+def apply(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text: str = "text", source: str = "source", row_key: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of ``df`` (and ``row_key``, made here if no column is named, ``text_key``, ``source``, ``nth``).
+
+    Rows are ordered by id, then by a hash of the text, so only rows that are equal in both depend on ``row_key``."""
+    own = F.monotonically_increasing_id() if row_key is None else F.col(row_key)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_key"), own.alias("row_key"))
+    rows = common.cut(rows)
     sizes = targets(rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")), mix)
     blocks = F.ceil(F.col("source_size") / mix.block_words).cast("bigint")
     wanted = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint")
@@ -151,14 +156,14 @@ def apply(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text: str = "
     plan = sizes.where("slots > 0").select("nth", "blocks", "slots", "low", "high")
     times = blocks_taken(plan, total, mix)
 
-    laid = _laid_out(known.where("size > 0").select("nth", "doc_id", "size", "row_key"), common.clamp(n_rows / 20_000, 16, 1 << 16), mix)
+    laid = _laid_out(known.where("size > 0").select("nth", "doc_id", "size", "text_key", "row_key"), common.clamp(n_rows / 4_000, 64, 1 << 20), mix)
     b = mix.block_words
     part = F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))).alias("block")
     parts = laid.select("nth", "row_key", "begin", "size", part)
     words = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * b) - F.greatest("begin", F.col("block") * b)
     taken = parts.withColumn("words", words).join(times, ["nth", "block"]).groupBy("row_key").agg(F.sum(F.col("words") * F.col("times")).cast("bigint").alias("taken"))
     out = known.join(taken, "row_key", "left")
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "nth", "row_key")
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "nth", "text_key", "row_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -170,16 +175,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Blocks cut documents; to keep texts whole, words taken over words is rounded to a number of copies. It is
     rounded along the documents of a source in order of size, carrying the remainder on, so a source's words
-    stay near its target. Texts without words take no part and go."""
+    stay near its target. Texts without words take no part and go. Rows are known by a key of their own, so ids may be null or repeat."""
     mix = Mix()
-    plan = common.cut(apply(docs, mix).where("size > 0"))
+    held, key = common.keyed(docs, "mixed")
+    plan = common.cut(apply(held, mix, row_key=key).where("size > 0"))
     chunks = plan.groupBy("nth").agg(F.ceil(F.count("*") / 20_000).alias("chunks"))
     plan = plan.join(F.broadcast(chunks) if _few(chunks) else chunks, "nth")
-    plan = plan.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row_key"), "chunks"))
-    along = Window.partitionBy("nth", "chunk").orderBy("size", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = plan.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), "chunks"))
+    along = Window.partitionBy("nth", "chunk").orderBy("size", "doc_id", "text_key", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plan = plan.withColumn("ratio", F.col("taken") / F.col("size")).withColumn("run", F.sum("ratio").over(along))
     copies = (F.floor(F.col("run") + 0.5) - F.floor(F.col("run") - F.col("ratio") + 0.5)).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.collect_list(F.least(F.lit(mix.most_repeats), copies)).alias("copies"))
-    numbered = docs.withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))))
-    joined = numbered.join(plan, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("times_", F.get("copies", F.col("nth_") - 1))
-    return joined.where("times_ > 0").withColumn("time_", F.explode(F.sequence(F.lit(1), "times_"))).select(*docs.columns)
+    plan = plan.select(F.col("row_key").alias("mixed_"), F.least(F.lit(mix.most_repeats), copies).alias("times_")).where("times_ > 0")
+    joined = held.join(plan, F.col(key) == F.col("mixed_"))
+    return joined.withColumn("time_", F.explode(F.sequence(F.lit(1), "times_"))).select(*docs.columns)

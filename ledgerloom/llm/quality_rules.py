@@ -174,6 +174,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
     # ids may be null or repeat: rows with the same id, host and text share a verdict
     keyed = docs.select("doc_id", "source", "text", F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("row_id"))
-    verdict = apply(keyed, id_col="row_id").where("kept").select(F.col("doc_id").alias("kept_")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_.doc_id")) & F.col("source").eqNullSafe(F.col("kept_.source"))
-    return docs.join(verdict, same & (F.xxhash64("text") == F.col("kept_.text_hash")), "left_semi")
+    failed = apply(keyed, id_col="row_id").where("not kept").select(F.col("doc_id").alias("failed_")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("failed_.doc_id")) & F.col("source").eqNullSafe(F.col("failed_.source"))
+    return docs.join(common.bounded(common.cut(failed), 1_000_000), same & (F.xxhash64("text") == F.col("failed_.text_hash")), "left_anti")

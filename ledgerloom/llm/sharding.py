@@ -169,11 +169,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of ``docs`` with its ``shard`` and ``slot``; rows that repeat an id take its places in turn."""
-    placed = apply(docs.select("doc_id", "text"))
-    placed = placed.groupBy(F.col("doc_id").alias("placed_id")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
-    numbered = docs.withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))))
-    joined = numbered.join(placed, F.col("doc_id").eqNullSafe(F.col("placed_id")))
-    place = F.col("places")[F.col("nth_") - 1]
+    """Every row of ``docs`` with its ``shard`` and ``slot``. Rows are known by a key of their own, so ids may be null or repeat."""
+    held, key = common.keyed(docs, "sharded")
+    placed = apply(held.select(key, "text"), id_col=key).select(F.col("doc_id").alias("placed_"), F.col("shard").alias("shard_"), F.col("slot").alias("slot_"))
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    return joined.select(*names, place["shard"].alias("shard"), place["slot"].alias("slot"))
+    return held.join(placed, F.col(key) == F.col("placed_")).select(*names, F.col("shard_").alias("shard"), F.col("slot_").alias("slot"))

@@ -17,6 +17,7 @@ table gives an empty table. Spans of sections are code points, end exclusive.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from . import common
 
 #: Fixed value: how the vocabulary's authors split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_built: dict[str, tuple] = {}
+_built: dict[tuple[str, bytes], tuple] = {}
 
 
 @dataclass(frozen=True)
@@ -53,13 +54,14 @@ def encoder(raw: bytes, pattern: str):
     """The encoder and each token's bytes; built once for each worker."""
     import tiktoken
 
-    if pattern not in _built:
+    key = (pattern, hashlib.sha256(raw).digest())
+    if key not in _built:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, k in ranks.items():
             sizes[k] = len(token)
-        _built[pattern] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes)
-    return _built[pattern]
+        _built[key] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes)
+    return _built[key]
 
 
 def attributed(token_ends: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, int]:
