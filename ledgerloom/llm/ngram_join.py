@@ -25,7 +25,8 @@ compared with the ``pivots`` pivots that most of them have and links merge compo
 elements in which they differ from it (``family_pairs``), which settles all pairs of them. Further pivots are classes
 that are still unlinked. After ``rounds`` rounds the members of a bucket that are in different components are
 compared with each other, but for pairs that were tested or had a pivot near both. Pairs whose ``parities`` differ in
-more bits than linked sets may differ in elements are never compared.
+more bits than linked sets may differ in elements are never compared; the last pairs are first tried by parities of
+more bins (``promising``), so long texts travel only where they are nearly linked.
 
 Scale: texts are written once as chunks (see ``chunks``) and never shuffled. For each class one text sends its
 signatures, 4 bytes each, and gets back a bit for each that another class has too; only those become rows. Buckets of
@@ -212,8 +213,12 @@ def _measured(words: int) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
 
 def _chunk_sets(ends: bytes, data: bytes, places: list[int], words: int) -> Iterator[tuple[int, np.ndarray]]:
     """Place and shingles of the texts of a chunk that stand at ``places``."""
-    ends, data = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8)
-    for place in sorted(places):
+    ends, data, wanted = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8), sorted(places)
+    if 2 * len(wanted) > len(ends):  # most of them: all are read together
+        held = set(wanted)
+        yield from ((place, shingles) for place, shingles in enumerate(_shingles(data, ends, words)) if place in held)
+        return
+    for place in wanted:
         own = data[ends[place] : ends[place + 1]]
         yield place, next(_shingles(own, np.array([0, len(own)], np.int64), words))
 
@@ -265,24 +270,23 @@ def index(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratc
 
 
 _BATCH_BYTES = 8 << 20
-_DEALT = pa.schema([("pivot", pa.int64()), ("salt", pa.int64()), ("is_member", pa.int32()), ("member", pa.int64()), ("shingles", pa.binary())])
+_DEALT = pa.schema([("pivot", pa.int64()), ("salt", pa.int64()), ("bins", pa.int64()), ("is_member", pa.int32()), ("member", pa.int64()), ("payload", pa.binary())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def verified(pairs: DataFrame, chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, differ: bool = False) -> DataFrame:
-    """member, pivot, n, pivot_n (sizes), linked, near, differ of all pairs. Shingles are made anew from the ``chunks`` and go to
-    the pivot's partition; a pivot of many members has several. ``near``: they share half of their union at least; then
-    ``differ``, if asked for, holds the elements of just one of the two."""
-    percent, words = join.percent, join.words
+def _compared(pairs: DataFrame, chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, payload: Callable, compare: Callable, schema: str) -> DataFrame:
+    """``compare`` (member, pivot, payload of both) of all ``pairs`` (member, pivot, bins). Payloads are made from the shingles in the
+    ``chunks`` and go to the pivot's partition; a pivot of many members has several."""
+    words = join.words
     salts = pairs.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > join.salt_rows)
     salts = salts.select("pivot", F.ceil(F.col("c") / join.salt_rows).alias("salts"))
     pairs = pairs.join(salts, "pivot", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("member"), "salts"), F.lit(0)))
-    pairs = scratch.keep(pairs.select("member", "pivot", "salt"))
-    asked = pairs.select(F.col("member").alias("class"), "pivot", "salt", F.lit(1).alias("is_member"))
-    asked = asked.unionByName(pairs.select(F.col("pivot").alias("class"), "pivot", "salt", F.lit(0).alias("is_member")).distinct())
+    pairs = scratch.keep(pairs.select("member", "pivot", "salt", "bins"))
+    asked = pairs.select(F.col("member").alias("class"), "pivot", "salt", "bins", F.lit(1).alias("is_member"))
+    asked = asked.unionByName(pairs.select(F.col("pivot").alias("class"), "pivot", "salt", "bins", F.lit(0).alias("is_member")).distinct())
     asked = asked.join(classes.select("class", "part", "chunk", "place"), "class")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,41 +296,81 @@ def verified(pairs: DataFrame, chunks: Chunks, classes: DataFrame, join: Join, s
                 by.setdefault(t["place"], []).append(t)
             rows, size = [], 0
             for place, shingles in _chunk_sets(ends, data, list(by), words):
-                raw = shingles.tobytes()
+                held = {bins: payload(shingles, bins) for bins in {t["bins"] for t in by[place]}}
                 for t in by[place]:
-                    rows.append((t["pivot"], t["salt"], t["is_member"], t["class"], raw))
-                    size += len(raw)
+                    rows.append((t["pivot"], t["salt"], t["bins"], t["is_member"], t["class"], held[t["bins"]]))
+                    size += len(rows[-1][-1])
                     if size > _BATCH_BYTES:
                         yield _batch(rows, _DEALT)
                         rows, size = [], 0
             if rows:
                 yield _batch(rows, _DEALT)
 
-    dealt = chunks.told(asked, "inner").mapInArrow(made, "pivot bigint, salt bigint, is_member int, member bigint, shingles binary")
-    dealt = dealt.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "is_member")
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-    names = ["member", "pivot", "n", "pivot_n", "linked", "near", "differ"]
+    dealt = chunks.told(asked, "inner").mapInArrow(made, "pivot bigint, salt bigint, bins bigint, is_member int, member bigint, payload binary")
+    dealt = dealt.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "bins", "is_member")
+    out = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, np.zeros(0, np.uint64)
+        now, own = None, b""
         for batch in batches:
             found = []
-            for pivot, is_member, member, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pivot", "is_member", "member", "shingles"))):
-                got = np.frombuffer(raw, np.uint64)
+            for pivot, bins, is_member, member, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pivot", "bins", "is_member", "member", "payload"))):
                 if not is_member:
-                    now, own = pivot, got
+                    now, own = (pivot, bins), raw
                     continue
-                assert now == pivot
-                both = len(np.intersect1d(own, got, assume_unique=True))
-                union = len(own) + len(got) - both
-                near = 2 * both >= union
-                apart = np.setxor1d(own, got, assume_unique=True).view(np.int64) if near and differ else None
-                found.append((member, pivot, len(got), len(own), 100 * both >= percent * union, near, apart))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found) if found else [[]] * len(kinds), kinds)], names=names)
-
-    out = scratch.keep(dealt.mapInArrow(run, "member bigint, pivot bigint, n bigint, pivot_n bigint, linked boolean, near boolean, differ array<bigint>"))
+                assert now == (pivot, bins)
+                if (row := compare(member, pivot, raw, own)) is not None:
+                    found.append(row)
+            if found:
+                yield _batch(found, out)
+
+    done = scratch.keep(dealt.mapInArrow(run, schema))
     scratch.drop(pairs)
-    return out
+    return done
+
+
+_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def verified(pairs: DataFrame, chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, differ: bool = False) -> DataFrame:
+    """member, pivot, n, pivot_n (sizes), linked, near, differ of all pairs (member, pivot). ``near``: they share half of
+    their union at least; then ``differ``, if asked for, holds the elements of just one of the two."""
+    percent = join.percent
+
+    def compare(member: int, pivot: int, raw: bytes, other: bytes) -> tuple:
+        got, own = np.frombuffer(raw, np.uint64), np.frombuffer(other, np.uint64)
+        both = len(np.intersect1d(own, got, assume_unique=True))
+        union = len(own) + len(got) - both
+        near = 2 * both >= union
+        apart = np.setxor1d(own, got, assume_unique=True).view(np.int64) if near and differ else None
+        return member, pivot, len(got), len(own), 100 * both >= percent * union, near, apart
+
+    schema = "member bigint, pivot bigint, n bigint, pivot_n bigint, linked boolean, near boolean, differ array<bigint>"
+    return _compared(pairs.withColumn("bins", F.lit(0).cast("bigint")), chunks, classes, join, scratch, lambda shingles, _: shingles.tobytes(), compare, schema)
+
+
+def _odd(shingles: np.ndarray, bins: int) -> bytes:
+    """The set's size, then a bit for each bin: whether it holds an odd number of the set's elements."""
+    bits = np.bincount((shingles % np.uint64(bins)).astype(np.int64), minlength=bins) & 1
+    return len(shingles).to_bytes(8, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def promising(pairs: DataFrame, chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch) -> DataFrame:
+    """The ``pairs`` (member, pivot) that may be linked by the parities of bins, four for each element of the larger set: a sixteenth of
+    the shingles' bytes. Sets that differ in d elements differ in at most d bits, so no link is lost."""
+    sizes = classes.select(F.col("class").alias("class_"), F.col("n").alias("n_"))
+    sized = pairs.select("member", "pivot")
+    for end in ("member", "pivot"):
+        sized = sized.join(sizes, F.col(end) == F.col("class_")).withColumnRenamed("n_", f"n_{end}").drop("class_")
+    bins = F.pow(F.lit(2.0), F.ceil(F.log2(4 * F.greatest("n_member", "n_pivot")))).cast("bigint")
+    least, most = 100 - join.percent, 100 + join.percent
+
+    def compare(member: int, pivot: int, raw: bytes, own: bytes) -> tuple | None:
+        bits = int(np.unpackbits(np.frombuffer(raw, np.uint8, offset=8) ^ np.frombuffer(own, np.uint8, offset=8)).sum())
+        both = int.from_bytes(raw[:8], "little") + int.from_bytes(own[:8], "little")
+        return (member, pivot) if most * bits <= least * both else None
+
+    return _compared(sized.select("member", "pivot", F.greatest(bins, F.lit(64)).alias("bins")), chunks, classes, join, scratch, _odd, compare, "member bigint, pivot bigint")
 
 
 def families(tested: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -468,6 +512,7 @@ def links(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratc
     pairs = scratch.keep(pairs.select(F.col("class").alias("member"), F.col("other_class").alias("pivot")).distinct())
     scratch.drop(open_)
     if not common.is_empty(pairs):
+        pairs = promising(pairs, chunks, classes, join, scratch)
         state = merged(state, verified(pairs, chunks, classes, join, scratch).where("linked").select("member", "pivot"))
     return scratch.keep(state.select("class", "component"))
 

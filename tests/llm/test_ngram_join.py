@@ -147,3 +147,14 @@ def test_pivot_that_is_met_in_two_rounds(spark):
     found = {tuple(sorted((r["member"], r["pivot"]))) for r in nj.family_pairs(near, state, join, scratch).collect()}
     assert tuple(sorted((a, b))) in found and tuple(sorted((a, c))) not in found
     assert seen.count() == 3 and not any(r["linked"] for r in seen.collect())
+
+
+def test_promising_pairs_keep_every_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 60, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 9 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
+        bins = 1 << max(6, int(np.ceil(np.log2(4 * n))))
+        x, y = (np.frombuffer(nj._odd(v, bins), np.uint8, offset=8) for v in (a, b))
+        apart = len(np.setxor1d(a, b))
+        assert 0.75 * apart <= np.unpackbits(x ^ y).sum() <= apart
