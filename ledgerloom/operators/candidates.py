@@ -5,7 +5,7 @@ the bucket and both neighbours. So a block (a hot instrument) is spread over its
 
 Caps need an order and make a block's edges one sorted group; they apply only if the policy sets them, after the
 range join has shrunk the block. The edge at which a record would pass its cap stops its block; the edge at
-which the run would pass its cap stops that block and all later ones. Stopped blocks are incomplete.
+which the run would pass its cap stops that block and all later ones, those without edges too. Stopped blocks are incomplete.
 """
 
 from __future__ import annotations
@@ -35,8 +35,15 @@ def edges(remaining: DataFrame, policy: Matching, rejected: DataFrame | None = N
     return out.select("left_id", "right_id", "block", "left_at", "right_at")
 
 
-def capped(all_: DataFrame, policy: Matching) -> tuple[DataFrame, DataFrame]:
-    """Edges within the caps, and the blocks (block) that are incomplete."""
+def blocks(remaining: DataFrame, policy: Matching) -> DataFrame:
+    """block: the blocks that have records on both sides."""
+    held = remaining.where(" and ".join([f"{c} is not null" for c in policy.block_on] + ["executed_at is not null"]))
+    sides = held.groupBy(block_key(policy).alias("block")).agg(F.max(F.col("rec_side") == "L").alias("l"), F.max(F.col("rec_side") == "R").alias("r"))
+    return sides.where("l and r").select("block")
+
+
+def capped(all_: DataFrame, policy: Matching, remaining: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges within the caps, and the blocks (block) that are incomplete. ``remaining``: the records, for blocks without edges."""
     spark = all_.sparkSession
     if policy.record_edges is None and policy.run_edges is None:
         return all_, spark.createDataFrame([], "block string")
@@ -51,12 +58,12 @@ def capped(all_: DataFrame, policy: Matching) -> tuple[DataFrame, DataFrame]:
     else:
         stops = placed.groupBy("block").agg(F.lit(None).cast("int").alias("stop"), F.count("*").alias("all_edges"))
     kept = F.coalesce(F.col("stop") - 1, F.col("all_edges"))
+    stops = stops.select("block", kept.alias("kept"), (kept < F.col("all_edges")).alias("stopped"))
+    if remaining is not None:
+        stops = blocks(remaining, policy).join(stops, "block", "left").withColumn("kept", F.coalesce("kept", F.lit(0))).withColumn("stopped", F.coalesce("stopped", F.lit(False)))
     if policy.run_edges is not None:  # a row for each block
-        before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        room = F.greatest(F.lit(0), F.lit(policy.run_edges) - F.coalesce(F.sum(kept).over(before), F.lit(0)))
-        stops = stops.withColumn("keep", F.least(kept, room))
-    else:
-        stops = stops.withColumn("keep", kept)
-    stops = stops.select(F.col("block").alias("block_"), "keep", "all_edges")
+        before = F.coalesce(F.sum("kept").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        stops = stops.withColumn("stopped", F.col("stopped") | (before + F.col("kept") > policy.run_edges) | (before > policy.run_edges)).withColumn("kept", F.least("kept", F.greatest(F.lit(0), F.lit(policy.run_edges) - before)))
+    stops = stops.select(F.col("block").alias("block_"), F.col("kept").alias("keep"), "stopped")
     within = placed.join(stops, F.col("block") == F.col("block_")).where(F.col("pos") <= F.col("keep")).select(*all_.columns)
-    return within, stops.where("keep < all_edges").select(F.col("block_").alias("block"))
+    return within, stops.where("stopped").select(F.col("block_").alias("block"))

@@ -1,7 +1,7 @@
 """First stage: reviewers' decisions and unique trusted references settle records before any score is built.
 
-Precedence: cancelled, manual link (or attention, if one end is missing), accepted as unmatched, reserved by a
-reviewer, duplicate reference, pair by a reference that occurs once on each side; the others remain. References
+Precedence: cancelled, manual link (or attention, if the other end is cancelled), accepted as unmatched, reserved by a
+reviewer (or by a link whose other end is no record here), duplicate reference, pair by a reference that occurs once on each side; the others remain. References
 are counted by an aggregation that is combined before the shuffle, so a very frequent one is one row.
 """
 
@@ -39,13 +39,27 @@ def _marked(records: DataFrame, ids: DataFrame | None, name: str) -> DataFrame:
     return records.join(held, F.col("id") == F.col("marked_id"), "left").withColumn(name, F.col("marked_id").isNotNull()).drop("marked_id")
 
 
+def _present(links: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links whose ends are both among ``records``, and the present ends (id) of the others."""
+    ids = records.select("id")
+    found = links.select("left_id", "right_id").distinct()
+    for end in ("left", "right"):
+        found = found.join(ids.withColumnRenamed("id", f"{end}_found"), F.col(f"{end}_id") == F.col(f"{end}_found"), "left")
+    both = F.col("left_found").isNotNull() & F.col("right_found").isNotNull()
+    alone = found.where(~both).select(F.coalesce("left_found", "right_found").alias("id")).where("id is not null")
+    return found.where(both).select("left_id", "right_id"), alone
+
+
 def preprocess(records: DataFrame, decisions: Decisions = Decisions()) -> Preprocessed:
     """``records``: rec_side (L or R), id, reference, state and the fields to match on."""
     known = records.select("rec_side", "id", "reference", "state")
-    known = _marked(_marked(known, decisions.accepted, "accepted"), decisions.reserved, "reserved")
+    links, reserved = decisions.links, decisions.reserved
+    if links is not None:
+        links, alone = _present(links, known)
+        reserved = alone if reserved is None else alone.unionByName(reserved.select("id"))
+    known = _marked(_marked(known, decisions.accepted, "accepted"), reserved, "reserved")
     live = known.where("state <> 'CANCELLED'").select("id")
-    if decisions.links is not None:
-        links = decisions.links.select("left_id", "right_id").distinct()
+    if links is not None:
         links = links.join(live.withColumnRenamed("id", "l_"), F.col("left_id") == F.col("l_"), "left").join(live.withColumnRenamed("id", "r_"), F.col("right_id") == F.col("r_"), "left")
         both = F.col("l_").isNotNull() & F.col("r_").isNotNull()
         ends = F.explode(F.array(F.struct(F.col("l_").alias("link_id"), F.col("r_").alias("other")), F.struct(F.col("r_").alias("link_id"), F.col("l_").alias("other")))).alias("end")
@@ -66,7 +80,9 @@ def preprocess(records: DataFrame, decisions: Decisions = Decisions()) -> Prepro
         no = decisions.rejected.select("left_id", "right_id").distinct().withColumn("prohibited", F.lit(True))
         keys = keys.join(no, ["left_id", "right_id"], "left").where("n_left > 1 or n_right > 1 or prohibited is null")
     keys = keys.withColumn("twice", (F.col("n_left") > 1) | (F.col("n_right") > 1))
-    known = known.join(keys.select("key", "twice", "left_id", "right_id"), (F.col("reference") == F.col("key")) & F.col("early").isNull(), "left")
+    # records without a reference meet nothing; a key of their own spreads them
+    own = F.coalesce(F.when(F.col("early").isNull(), F.col("reference")), F.concat(F.lit("\u0000"), F.col("id")))
+    known = known.withColumn("own_key", own).join(keys.select("key", "twice", "left_id", "right_id"), F.col("own_key") == F.col("key"), "left")
     outcome = F.coalesce("early", F.when(F.col("twice"), "DUPLICATE_REFERENCE").when(~F.col("twice"), "REFERENCE_PAIR").otherwise("REMAINING"))
     partner = F.when(F.col("early") == "MANUAL_PAIR", F.col("other")).when(F.col("early").isNull() & ~F.col("twice"), F.when(left, F.col("right_id")).otherwise(F.col("left_id")))
     outcomes = known.select("rec_side", "id", outcome.alias("outcome"), partner.alias("partner"))

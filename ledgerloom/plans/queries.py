@@ -97,7 +97,8 @@ def _delta(base: DataFrame) -> DataFrame:
     old = base.where(k % 10 < 3).select("source_record_key", (k + 1_000_000).alias("k"), F.lit("SETTLED").alias("state"), op.alias("operation"))
     new = base.where(k % 50 == 7).select(F.concat(F.lit("N"), "source_record_key").alias("source_record_key"), "k", "state", F.lit("UPSERT").alias("operation"))
     gone = base.where(k % 50 == 9).select(F.concat(F.lit("G"), "source_record_key").alias("source_record_key"), "k", "state", F.lit("RETRACT").alias("operation"))
-    return old.unionByName(new).unionByName(gone)
+    late = base.where(k % 50 == 13).select(F.concat(F.lit("C"), "source_record_key").alias("source_record_key"), "k", F.lit("CANCELLED").alias("state"), F.lit("CANCEL").alias("operation"))
+    return old.unionByName(new).unionByName(gone).unionByName(late)
 
 
 def delta_merge(spark, sf_dir):
@@ -197,14 +198,11 @@ _COMPARED = f"""{_PRE}, {_BOTH}, c AS (
  UNION ALL SELECT left_id, right_id, 'instrument', CASE WHEN li = ri THEN 'EXACT' ELSE 'DISCREPANT' END FROM joined
  UNION ALL SELECT left_id, right_id, 'side', CASE WHEN ls = rs THEN 'EXACT' ELSE 'DISCREPANT' END FROM joined
  UNION ALL SELECT left_id, right_id, 'currency', CASE WHEN lc = rc THEN 'EXACT' ELSE 'DISCREPANT' END FROM joined
- UNION ALL SELECT left_id, right_id, 'quantity', CASE WHEN lq = rq THEN 'EXACT' ELSE 'DISCREPANT' END FROM joined
+ UNION ALL SELECT left_id, right_id, 'quantity', CASE WHEN lq IS NULL OR rq IS NULL THEN 'MISSING' WHEN lq = rq THEN 'EXACT' ELSE 'DISCREPANT' END FROM joined
  UNION ALL SELECT left_id, right_id, 'timestamp', CASE WHEN lt = rt THEN 'EXACT' WHEN abs(epoch_us(lt) - epoch_us(rt)) <= 60000000 THEN 'WITHIN_TOLERANCE' ELSE 'DISCREPANT' END FROM joined
  UNION ALL SELECT left_id, right_id, 'unit_price', CASE WHEN lc <> rc THEN 'NOT_COMPARABLE' WHEN lp IS NULL OR rp IS NULL THEN 'MISSING' WHEN lp = rp THEN 'EXACT' WHEN abs(lp - rp) <= 1 THEN 'WITHIN_TOLERANCE' ELSE 'DISCREPANT' END FROM joined
  UNION ALL SELECT left_id, right_id, 'gross_amount', CASE WHEN lc <> rc THEN 'NOT_COMPARABLE' WHEN la = ra THEN 'EXACT' WHEN abs(la - ra) <= 5 THEN 'WITHIN_TOLERANCE' ELSE 'DISCREPANT' END FROM joined
  UNION ALL SELECT left_id, right_id, 'state', 'EXACT' FROM joined)"""
-_EDGES = f"{_PRE}, rest AS (SELECT * FROM pre WHERE outcome = 'REMAINING'), e AS (SELECT a.id AS left_id, b.id AS right_id, a.quantity AS lq, b.quantity AS rq, a.price_cents AS lp, b.price_cents AS rp, a.cents AS la, b.cents AS ra, epoch_us(a.executed_at) AS lt, epoch_us(b.executed_at) AS rt, a.reference AS lref, b.reference AS rref FROM rest a JOIN rest b ON a.rec_side = 'L' AND b.rec_side = 'R' AND a.instrument = b.instrument AND a.side = b.side AND a.currency = b.currency AND b.executed_at BETWEEN a.executed_at - INTERVAL 24 HOUR AND a.executed_at + INTERVAL 24 HOUR)"
-
-
 def _share(weight: int, difference: str, border: str) -> str:
     """Half-even in whole numbers."""
     n = f"(CAST({weight} AS HUGEINT) * greatest(0, ({border}) - ({difference})))"
@@ -212,6 +210,25 @@ def _share(weight: int, difference: str, border: str) -> str:
     return f"CAST({q} + CASE WHEN 2 * {m} > ({border}) OR (2 * {m} = ({border}) AND {q} % 2 = 1) THEN 1 ELSE 0 END AS INTEGER)"
 
 
+#: Links, accepted, reserved and rejected as ``testbed.decisions`` makes them. A linked left record whose right end is absent is reserved.
+_DECIDED = f"""{_B}, early AS (SELECT recs.*, CASE WHEN recs.state = 'CANCELLED' THEN 'CANCELLED' WHEN recs.k % 101 = 0 AND o.id IS NOT NULL THEN 'MANUAL_PAIR'
+ WHEN recs.rec_side = 'L' AND recs.k % 103 = 0 AND recs.k % 101 <> 0 THEN 'ACCEPTED_UNMATCHED' WHEN (recs.id[1] = 'R' AND recs.k % 109 = 0) OR (recs.id[1] = 'L' AND recs.k % 101 = 0) THEN 'REVIEWER_RESERVED' END AS early, o.id AS other
+ FROM recs LEFT JOIN recs o ON o.k = recs.k AND recs.id[1] IN ('L', 'R') AND o.id = CASE recs.rec_side WHEN 'L' THEN 'R' ELSE 'L' END || recs.k AND o.state <> 'CANCELLED'),
+ refs AS (SELECT reference, count(*) FILTER (rec_side = 'L') AS nl, count(*) FILTER (rec_side = 'R') AS nr, min(id) FILTER (rec_side = 'L') AS lid, min(id) FILTER (rec_side = 'R') AS rid, min(k) FILTER (rec_side = 'L') AS lk, min(k) FILTER (rec_side = 'R') AS rk FROM early WHERE early IS NULL AND reference IS NOT NULL GROUP BY 1),
+ pre AS (SELECT early.* EXCLUDE (other), coalesce(early, CASE WHEN nl > 1 OR nr > 1 THEN 'DUPLICATE_REFERENCE' WHEN nl = 1 AND nr = 1 AND NOT (lk = rk AND lk % 107 = 0) THEN 'REFERENCE_PAIR' ELSE 'REMAINING' END) AS outcome,
+ CASE WHEN early = 'MANUAL_PAIR' THEN other WHEN early IS NULL AND nl = 1 AND nr = 1 AND NOT (lk = rk AND lk % 107 = 0) THEN CASE rec_side WHEN 'L' THEN rid ELSE lid END END AS partner FROM early LEFT JOIN refs USING (reference))"""
+
+
+_EDGES_OF = "rest AS (SELECT * FROM pre WHERE outcome = 'REMAINING'), e AS (SELECT a.id AS left_id, b.id AS right_id, a.k AS lk, a.quantity AS lq, b.quantity AS rq, a.price_cents AS lp, b.price_cents AS rp, a.cents AS la, b.cents AS ra, epoch_us(a.executed_at) AS lt, epoch_us(b.executed_at) AS rt, a.reference AS lref, b.reference AS rref FROM rest a JOIN rest b ON a.rec_side = 'L' AND b.rec_side = 'R' AND a.instrument = b.instrument AND a.side = b.side AND a.currency = b.currency AND b.executed_at BETWEEN a.executed_at - INTERVAL 24 HOUR AND a.executed_at + INTERVAL 24 HOUR)"
+_SCORED = f"""f AS (SELECT left_id, right_id, CASE WHEN lq IS NULL OR rq IS NULL THEN 0 ELSE {_share(3500, "abs(lq - rq) * 100", "greatest(lq, rq)")} END AS quantity_bp, {_share(2500, "abs(lt - rt)", "600000000")} AS timestamp_bp,
+ CASE WHEN lp IS NULL OR rp IS NULL THEN 0 ELSE {_share(1500, "abs(lp - rp) * 100", "greatest(100, lp, rp)")} END AS unit_price_bp, {_share(2500, "abs(la - ra) * 100", "greatest(100, la, ra)")} AS gross_amount_bp,
+ coalesce(lref <> rref, false) AS contradicted, lq IS NOT NULL AND rq IS NOT NULL AS covered FROM e), s AS (SELECT *, quantity_bp + timestamp_bp + unit_price_bp + gross_amount_bp AS score FROM f)"""
+#: Every component above the floor is a star here (one left record and its rivals, or the like): its best edge is selected, and the gap is to the second best.
+_CHOSEN = """above AS (SELECT *, count(*) OVER (PARTITION BY left_id) AS dl, count(*) OVER (PARTITION BY right_id) AS dr FROM s WHERE score > 7000),
+ star AS (SELECT *, CASE WHEN dr > 1 THEN right_id ELSE left_id END AS center, CAST(score - 7000 AS BIGINT) AS gain FROM above),
+ best AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY score DESC) AS place, gain - coalesce(lead(gain) OVER (PARTITION BY center ORDER BY score DESC), 0) AS gap FROM star),
+ chosen AS (SELECT left_id, right_id, gain AS objective, gap, score, covered, contradicted, concat_ws(',', CASE WHEN score < 9000 THEN 'SCORE' END, CASE WHEN NOT covered THEN 'COVERAGE' END, CASE WHEN contradicted THEN 'CONTRADICTION' END, CASE WHEN gap < 800 THEN 'GAP' END) AS failing FROM best WHERE place = 1)"""
+
 _DELTA = f"{_B}, d AS (SELECT id, k, state, CASE k % 10 WHEN 0 THEN 'RETRACT' WHEN 1 THEN 'CANCEL' WHEN 2 THEN 'UPSERT' END AS op FROM l)"
 _EIGHT = lambda x: f"unhex(lpad(printf('%x', strlen({x})), 16, '0') || hex(encode({x})))"
 
@@ -225,22 +242,27 @@ ORACLE_SQL = {
     "reference_pairs": f"{_PRE} SELECT * FROM pairs",
     "comparisons": f"{_COMPARED} SELECT * FROM c",
     "preprocess": f"{_PRE} SELECT rec_side, id, outcome, CASE WHEN outcome = 'REFERENCE_PAIR' THEN CASE rec_side WHEN 'L' THEN rid ELSE lid END END AS partner FROM pre",
-    "preprocess_with_decisions": f"""{_B}, early AS (SELECT recs.*, CASE WHEN recs.state = 'CANCELLED' THEN 'CANCELLED'
- WHEN recs.k % 101 = 0 AND o.id IS NOT NULL THEN 'MANUAL_PAIR' WHEN recs.k % 101 = 0 THEN 'MANUAL_ATTENTION'
- WHEN recs.rec_side = 'L' AND recs.k % 103 = 0 THEN 'ACCEPTED_UNMATCHED' WHEN recs.rec_side = 'R' AND recs.k % 109 = 0 THEN 'REVIEWER_RESERVED' END AS early, o.id AS other
- FROM recs LEFT JOIN recs o ON o.k = recs.k AND o.rec_side <> recs.rec_side AND o.state <> 'CANCELLED'),
- refs AS (SELECT reference, count(*) FILTER (rec_side = 'L') AS nl, count(*) FILTER (rec_side = 'R') AS nr, min(id) FILTER (rec_side = 'L') AS lid, min(id) FILTER (rec_side = 'R') AS rid, min(k) FILTER (rec_side = 'L') AS lk, min(k) FILTER (rec_side = 'R') AS rk FROM early WHERE early IS NULL AND reference IS NOT NULL GROUP BY 1)
- SELECT rec_side, id, coalesce(early, CASE WHEN nl > 1 OR nr > 1 THEN 'DUPLICATE_REFERENCE' WHEN nl = 1 AND nr = 1 AND NOT (lk = rk AND lk % 107 = 0) THEN 'REFERENCE_PAIR' ELSE 'REMAINING' END) AS outcome,
- CASE WHEN early = 'MANUAL_PAIR' THEN other WHEN early IS NULL AND nl = 1 AND nr = 1 AND NOT (lk = rk AND lk % 107 = 0) THEN CASE rec_side WHEN 'L' THEN rid ELSE lid END END AS partner FROM early LEFT JOIN refs USING (reference)""",
+    "preprocess_with_decisions": f"{_DECIDED} SELECT rec_side, id, outcome, partner FROM pre",
     "reference_index": f"{_B} SELECT reference, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM recs WHERE reference IS NOT NULL GROUP BY 1",
-    "candidate_edges": f"{_EDGES} SELECT left_id, right_id FROM e",
-    "candidate_degrees": f"{_EDGES}, d AS (SELECT left_id, count(*) AS n FROM e GROUP BY 1) SELECT n, count(*) AS n_records FROM d GROUP BY 1",
-    "scores": f"""{_EDGES}, f AS (SELECT left_id, right_id, {_share(3500, "abs(lq - rq) * 100", "greatest(lq, rq)")} AS quantity_bp, {_share(2500, "abs(lt - rt)", "600000000")} AS timestamp_bp,
- CASE WHEN lp IS NULL OR rp IS NULL THEN 0 ELSE {_share(1500, "abs(lp - rp) * 100", "greatest(100, lp, rp)")} END AS unit_price_bp, {_share(2500, "abs(la - ra) * 100", "greatest(100, la, ra)")} AS gross_amount_bp,
- coalesce(lref <> rref, false) AS contradicted, true AS covered FROM e) SELECT left_id, right_id, quantity_bp, timestamp_bp, unit_price_bp, gross_amount_bp, quantity_bp + timestamp_bp + unit_price_bp + gross_amount_bp AS score, contradicted, covered FROM f""",
+    "candidate_edges": f"{_PRE}, {_EDGES_OF} SELECT left_id, right_id FROM e",
+    "candidate_degrees": f"{_PRE}, {_EDGES_OF}, d AS (SELECT left_id, count(*) AS n FROM e GROUP BY 1) SELECT n, count(*) AS n_records FROM d GROUP BY 1",
+    "scores": f"{_PRE}, {_EDGES_OF}, {_SCORED} SELECT left_id, right_id, quantity_bp, timestamp_bp, unit_price_bp, gross_amount_bp, score, contradicted, covered FROM s",
+    "proposals": f"{_PRE}, {_EDGES_OF}, {_SCORED}, {_CHOSEN} SELECT *, failing = '' AS accepted FROM chosen",
+    "matched_pairs": f"{_PRE}, {_EDGES_OF}, {_SCORED}, {_CHOSEN} SELECT left_id, right_id, 'REFERENCE_PAIR' AS origin, CAST(NULL AS INTEGER) AS score FROM pairs UNION ALL SELECT left_id, right_id, 'WEIGHTED_PAIR', score FROM chosen WHERE failing = ''",
+    "outcomes": f"""{_DECIDED}, {_EDGES_OF.replace("INTERVAL 24 HOUR)", "INTERVAL 24 HOUR AND NOT (a.k = b.k AND b.id[1] = 'R' AND a.k % 107 = 0))")}, {_SCORED}, {_CHOSEN},
+ seen AS (SELECT id, min(CAST(contradicted AS INTEGER)) AS contradicted, max(score) AS top FROM (SELECT left_id AS id, contradicted, score FROM s UNION ALL SELECT right_id, contradicted, score FROM s) GROUP BY 1),
+ matched AS (SELECT left_id AS id, right_id AS other FROM chosen WHERE failing = '' UNION ALL SELECT right_id, left_id FROM chosen WHERE failing = '')
+ SELECT pre.rec_side, pre.id, CASE WHEN pre.outcome <> 'REMAINING' THEN pre.outcome WHEN other IS NOT NULL THEN 'WEIGHTED_PAIR' WHEN top IS NULL AND pre.k % 107 = 0 AND pre.k % 11 <> 0 AND pre.id[1] <> 'Q' THEN 'PROHIBITED' WHEN top IS NULL THEN 'NO_CANDIDATE'
+ WHEN contradicted = 1 THEN 'PROHIBITED' WHEN top <= 7000 THEN 'BELOW_ASSIGNMENT_FLOOR' ELSE 'AMBIGUOUS' END AS outcome, coalesce(pre.partner, other) AS partner
+ FROM pre LEFT JOIN seen USING (id) LEFT JOIN matched USING (id)""",
+    "state_digests": f"""{_B}, d AS (SELECT instrument, {_digest("id", "state")} AS h FROM recs), slices AS (SELECT instrument, h[1:2] AS slice, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS c FROM d GROUP BY 1, 2)
+ SELECT instrument, CAST(sum(c) AS BIGINT) AS n_rows, sha256(string_agg(d, '' ORDER BY slice)) AS digest FROM slices GROUP BY 1""",
+    "import_issues": f"""{_B}, i AS (SELECT state, concat_ws(',', CASE WHEN k % 31 = 0 THEN 'executed_at:INVALID_DATETIME' END, CASE WHEN k % 41 = 0 THEN 'quantity:NON_FINITE_DECIMAL' WHEN k % 43 = 0 THEN 'quantity:UNSUPPORTED_PRECISION' END,
+ CASE WHEN k % 37 = 0 THEN 'side:UNKNOWN_ENUM' END, CASE WHEN k % 29 = 0 THEN 'source_record_key:DUPLICATE_SOURCE_KEY' END, CASE WHEN k % 47 = 0 THEN 'unit_price:EMPTY_VALUE' END) AS issues FROM l)
+ SELECT issues, count(*) AS n, count(*) FILTER (issues = '' AND state <> 'CANCELLED') AS n_eligible FROM i GROUP BY 1""",
     "contract_problems": "SELECT 'x' AS what, 'x' AS id WHERE false",
     "duplicate_lines": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "delta_merge": f"{_DELTA} SELECT id AS source_record_key, CASE WHEN op = 'UPSERT' THEN k + 1000000 ELSE k END AS k, CASE WHEN op = 'UPSERT' THEN 'SETTLED' WHEN op = 'CANCEL' THEN 'CANCELLED' ELSE state END AS state FROM d WHERE coalesce(op, '') <> 'RETRACT' UNION ALL SELECT 'N' || id, k, state FROM l WHERE k % 50 = 7",
+    "delta_merge": f"{_DELTA} SELECT id AS source_record_key, CASE WHEN op IN ('UPSERT', 'CANCEL') THEN k + 1000000 ELSE k END AS k, CASE WHEN op = 'UPSERT' THEN 'SETTLED' WHEN op = 'CANCEL' THEN 'CANCELLED' ELSE state END AS state FROM d WHERE coalesce(op, '') <> 'RETRACT' UNION ALL SELECT 'N' || id, k, state FROM l WHERE k % 50 = 7 UNION ALL SELECT 'C' || id, k, 'CANCELLED' FROM l WHERE k % 50 = 13",
     "operation_histogram": f"{_DELTA} SELECT coalesce(op, 'UNRESOLVED') AS operation, count(*) AS n FROM d GROUP BY 1",
     "case_keys": f"""{_PRE} SELECT left_id, right_id, {_digest("'case-v1'", "'PAIR'", "'book'", "'book-1'", "'left'", "left_id", "'right'", "right_id")} AS case_key FROM pairs""",
     "case_page": f"{_B} SELECT id, epoch_us(executed_at) AS at FROM recs WHERE executed_at > TIMESTAMP '1995-06-01' OR (executed_at = TIMESTAMP '1995-06-01' AND id > 'L1') ORDER BY executed_at, id LIMIT 51",

@@ -13,14 +13,17 @@ o AS (SELECT o_orderkey AS k, c_mktsegment AS seg, CAST(o_totalprice AS DECIMAL(
 b AS (SELECT k, seg AS instrument, CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE k % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency,
   CAST(k % 97 + 1 AS BIGINT) AS quantity, CAST(amount * 100 AS BIGINT) AS cents, d + to_seconds(k * 7919 % 86400) AS executed_at, CASE WHEN k % 13 = 0 THEN 'CANCELLED' ELSE 'SETTLED' END AS state FROM o),
 l AS (SELECT 'L' AS rec_side, 'L' || k AS id, k, 'T' || k AS reference, instrument, side, currency, quantity, CASE WHEN k % 6 <> 0 THEN cents END AS price_cents, cents, executed_at, state FROM b),
-r AS (SELECT 'R' AS rec_side, 'R' || k AS id, k, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 17 = 0 THEN 'T' || (k - 1) ELSE 'T' || k END AS reference, instrument, side, currency, quantity,
+r AS (SELECT 'R' AS rec_side, 'R' || k AS id, k, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 17 = 0 THEN 'T' || (k - 1) ELSE 'T' || k END AS reference, instrument, side, currency, CASE WHEN k % 53 <> 0 THEN quantity END AS quantity,
   CASE WHEN k % 6 <> 0 THEN cents END AS price_cents, cents + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 19 = 0 THEN 500 ELSE 0 END AS cents,
-  executed_at + to_seconds(CASE WHEN k % 5 = 0 THEN 30 ELSE 0 END) + to_seconds(CASE WHEN k % 23 = 0 THEN 300 ELSE 0 END) AS executed_at, state FROM b WHERE k % 11 <> 0),
+  executed_at + to_seconds(CASE WHEN k % 5 = 0 THEN 30 ELSE 0 END) + to_seconds(CASE WHEN k % 23 = 0 THEN 300 ELSE 0 END) AS executed_at, state FROM b WHERE k % 11 <> 0
+  UNION ALL SELECT 'R', 'Q' || k, k, NULL, instrument, side, currency, quantity, CASE WHEN k % 6 <> 0 THEN cents END, cents + 50, executed_at + to_seconds(CASE WHEN k % 16 = 0 THEN 400 ELSE 60 END), state FROM b WHERE k % 8 = 0 AND k % 11 <> 0),
 recs AS (SELECT * FROM l UNION ALL SELECT * FROM r)"""
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_side, id, reference, instrument, side, currency, quantity, unit_price, gross_amount, executed_at, state (and k)."""
+    """rec_side, id, reference, instrument, side, currency, quantity, unit_price, gross_amount, executed_at, state (and k).
+
+    Every eighth key has a rival on the right (Q): near in amount and time, so left records without a reference pair are contested."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
     k = F.col("o_orderkey")
@@ -40,7 +43,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(k % 7 == 0, F.expr("0.03BD")).otherwise(F.expr("0.00BD")) + F.when(k % 19 == 0, F.expr("5.00BD")).otherwise(F.expr("0.00BD"))
     late = F.when(k % 5 == 0, 30).otherwise(0) + F.when(k % 23 == 0, 300).otherwise(0)
     right = right.withColumn("gross_amount", (F.col("gross_amount").cast("decimal(18,2)") + more).cast("decimal(28,12)")).withColumn("executed_at", F.col("executed_at") + F.make_dt_interval(secs=late.cast("decimal(18,6)")))
-    return left.select(*names).unionByName(right.select(*names))
+    right = right.withColumn("quantity", F.when(k % 53 != 0, F.col("quantity")))
+    rival = base.where("k % 8 = 0 and k % 11 <> 0").withColumn("rec_side", F.lit("R")).withColumn("id", F.concat(F.lit("Q"), text)).withColumn("reference", F.lit(None).cast("string"))
+    rival = rival.withColumn("gross_amount", (F.col("gross_amount").cast("decimal(18,2)") + F.expr("0.50BD")).cast("decimal(28,12)"))
+    rival = rival.withColumn("executed_at", F.col("executed_at") + F.make_dt_interval(secs=F.when(k % 16 == 0, 400).otherwise(60).cast("decimal(18,6)")))
+    return left.select(*names).unionByName(right.select(*names)).unionByName(rival.select(*names))
 
 
 def decisions(recs: DataFrame) -> Decisions:

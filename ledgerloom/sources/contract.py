@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Canonical fields and the states of a raw cell.
 TEXT = ("source_record_key", "instrument", "currency", "business_reference")
 ENUM = ("side", "state", "operation")
 NUMBER = ("quantity", "unit_price", "gross_amount")
+FIELDS = (*TEXT, *ENUM, *NUMBER, "executed_at")
 REQUIRED = ("source_record_key", "instrument", "side", "quantity", "unit_price", "gross_amount", "currency", "executed_at", "state", "operation")
 _DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -60,56 +61,95 @@ def _trimmed(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"^(?U)\s+", ""), r"(?U)\s+$", "")
 
 
+def _cells(raw: DataFrame, contract: Contract) -> DataFrame:
+    """cell_f, text_f (trimmed, null unless it is a value) and state_f (VALUE, MISSING, NULL, EMPTY) for each canonical field f.
+
+    Each step is a projection whose columns the next one reads several times, so they are evaluated once."""
+    cells = []
+    for name in FIELDS:
+        bound = contract.bindings.get(name)
+        cell = F.lit(contract.constants[name]) if name in contract.constants else F.col(f"`{bound}`").cast("string") if bound in raw.columns else F.lit(None).cast("string")
+        cells.append(cell.alias(f"cell_{name}"))
+    held = raw.select(*cells)
+    held = held.select("*", *[_trimmed(F.col(f"cell_{f}")).alias(f"trim_{f}") for f in FIELDS])
+    states = []
+    for name in FIELDS:
+        cell, empty = F.col(f"cell_{name}"), F.col(f"trim_{name}") == ""
+        nulls = cell.isin(*contract.null_tokens) if contract.null_tokens else F.lit(False)
+        state = F.when(cell.isNull(), "MISSING").when(nulls, "NULL").when(empty, "EMPTY").otherwise("VALUE")
+        states.append((F.lit("VALUE") if name in contract.constants else state).alias(f"state_{name}"))
+    held = held.select("*", *states)
+    return held.select("*", *[F.when(F.col(f"state_{f}") == "VALUE", F.col(f"trim_{f}")).alias(f"text_{f}") for f in FIELDS])
+
+
+def _parsed(held: DataFrame, contract: Contract) -> DataFrame:
+    """Adds plain_f and fine_f of numbers, then value_f of all fields."""
+    held = held.select("*", *[F.regexp_replace(F.col(f"text_{f}"), r"(?<=[0-9])_(?=[0-9])", "").alias(f"plain_{f}") for f in NUMBER])
+    held = held.select("*", *[F.col(f"plain_{f}").rlike(_DECIMAL).alias(f"fine_{f}") for f in NUMBER])
+    values = []
+    for name in FIELDS:
+        text = F.col(f"text_{name}")
+        value = text
+        if name in ENUM and name in contract.enums:
+            value = F.try_element_at(F.create_map(*[F.lit(x) for k, v in contract.enums[name].items() for x in (k, v)]), text)
+        elif name in NUMBER:
+            value = F.when(F.col(f"fine_{name}"), F.col(f"plain_{name}")).try_cast("decimal(28,12)")
+        elif name == "executed_at" and contract.time_format:
+            value = F.try_to_timestamp(text, F.lit(contract.time_format))
+        elif name == "executed_at":
+            value = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(text))
+        values.append(value.alias(f"value_{name}"))
+    return held.select("*", *values)
+
+
+def _number_code(name: str) -> Column:
+    plain, value = F.col(f"plain_{name}"), F.col(f"value_{name}")
+    odd = F.lower(plain).rlike(r"^[+-]?(s?nan[0-9]*|inf|infinity)$")
+    decimals = F.length(F.regexp_extract(plain, r"\.([0-9]*)", 1)) - F.coalesce(F.regexp_extract(plain, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return F.when(odd, "NON_FINITE_DECIMAL").when(~F.col(f"fine_{name}"), "INVALID_DECIMAL").when(value.isNull() | (decimals > 12), "UNSUPPORTED_PRECISION").when(value < 0, "NEGATIVE_VALUE")
+
+
 def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
     """Canonical columns, ``issues`` (array of field:CODE, sorted) and ``eligible`` for each raw row (text columns).
 
     A missing column, a null token, an empty cell and a value are told apart. A row keeps all its issues. RETRACT
-    rows need a key only. Every holder of a key that occurs twice is marked. Negative amounts are an issue of the row."""
+    rows need a key only; a CANCEL row's state must be CANCELLED. Every holder of a key that occurs twice is marked. Negative
+    amounts are an issue of the row, and so are numbers of more than 12 decimals or of 17 or more digits before the point,
+    beyond which scores would not be exact."""
+    held = _parsed(_cells(raw, contract), contract)
+    if contract.time_format:
+        local = F.col("value_executed_at")
+        held = held.withColumn("utc_", F.to_utc_timestamp(local, contract.zone))
     columns, issues = [], []
-    for name in (*TEXT, *ENUM, *NUMBER, "executed_at"):
-        if name in contract.constants:
-            cell, state = F.lit(contract.constants[name]), F.lit("VALUE")
-        elif name in contract.bindings and contract.bindings[name] in raw.columns:
-            cell = F.col(contract.bindings[name]).cast("string")
-            empty = _trimmed(cell) == ""
-            nulls = cell.isin(*contract.null_tokens) if contract.null_tokens else F.lit(False)
-            state = F.when(cell.isNull(), "MISSING").when(nulls, "NULL").when(empty, "EMPTY").otherwise("VALUE")
-        else:
-            cell, state = F.lit(None).cast("string"), F.lit("MISSING")
-        text = F.when(state == "VALUE", _trimmed(cell))
+    for name in FIELDS:
+        state, text, value = (F.col(f"{x}_{name}") for x in ("state", "text", "value"))
         code = F.when(state != "VALUE", F.concat(state, F.lit("_VALUE"))) if name in REQUIRED else F.lit(None).cast("string")
-        value = text
         if name in ENUM and name in contract.enums:
-            pairs = [F.lit(x) for k, v in contract.enums[name].items() for x in (k, v)]
-            value = F.try_element_at(F.create_map(*pairs), text)
             code = F.coalesce(code, F.when(text.isNotNull() & value.isNull(), F.lit("UNKNOWN_ENUM")))
         elif name in NUMBER:
-            plain = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
-            odd = F.lower(plain).rlike(r"^[+-]?(s?nan[0-9]*|inf|infinity)$")
-            fine = plain.rlike(_DECIMAL)
-            decimals = F.length(F.regexp_extract(plain, r"\.([0-9]*)", 1)) - F.coalesce(F.regexp_extract(plain, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-            value = F.when(fine, plain).try_cast("decimal(38,12)")
-            digits = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[eE].*$", ""), r"\.", ""), r"^[+-]?0*", ""))
-            code = F.coalesce(code, F.when(odd, "NON_FINITE_DECIMAL").when(~fine, "INVALID_DECIMAL").when(value.isNull() | (decimals > 12) | (digits > 38), "UNSUPPORTED_PRECISION").when(value < 0, "NEGATIVE_VALUE"))
+            code = F.coalesce(code, _number_code(name))
         elif name == "executed_at":
+            found = F.when(value.isNull(), F.lit("INVALID_DATETIME"))
             if contract.time_format:
-                local = F.try_to_timestamp(text, F.lit(contract.time_format))
-                value = F.to_utc_timestamp(local, contract.zone)
+                local, value = value, F.col("utc_")
                 gap = F.from_utc_timestamp(value, contract.zone) != local
                 twice = F.from_utc_timestamp(value + F.expr("interval 1 hour"), contract.zone) == local
                 before = F.from_utc_timestamp(value - F.expr("interval 1 hour"), contract.zone) == local
-                code = F.coalesce(code, F.when(local.isNull(), "INVALID_DATETIME").when(gap, "NONEXISTENT_DATETIME").when(twice | before, "AMBIGUOUS_DATETIME"))
-            else:
-                value = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(text))
-                code = F.coalesce(code, F.when(value.isNull(), F.lit("INVALID_DATETIME")))
-        columns.append(F.when(code.isNull(), value).alias(name))
-        issues.append(F.when(code.isNotNull(), F.concat(F.lit(f"{name}:"), code)).alias(f"issue_{name}"))
-    out = raw.select(*columns, *issues)
-    retract = F.col("operation") == "RETRACT"
-    own = [c for c in out.columns if c.startswith("issue_")]
-    all_ = F.array_compact(F.array(*[F.col(c) for c in own]))
-    key_only = F.array_compact(F.array("issue_source_record_key", "issue_operation"))
-    copies = F.count("*").over(Window.partitionBy("source_record_key"))
-    again = F.when(F.col("source_record_key").isNotNull() & (copies > 1), F.lit("source_record_key:DUPLICATE_SOURCE_KEY"))
-    found = F.array_sort(F.array_compact(F.array_append(F.when(retract, key_only).otherwise(all_), again)))
-    return out.withColumn("issues", found).drop(*own).withColumn("eligible", (F.size("issues") == 0) & ~F.coalesce(retract, F.lit(False)) & (F.coalesce("state", F.lit("")) != "CANCELLED"))
+                found = found.when(gap, "NONEXISTENT_DATETIME").when(twice | before, "AMBIGUOUS_DATETIME")
+            code = F.coalesce(code, found)
+        columns.append(value.alias(f"found_{name}"))
+        issues.append(code.alias(f"code_{name}"))
+    held = held.select(*columns, *issues)
+    out = held.select(*[F.when(F.col(f"code_{f}").isNull(), F.col(f"found_{f}")).alias(f) for f in FIELDS], *[F.concat(F.lit(f"{f}:"), F.col(f"code_{f}")).alias(f"issue_{f}") for f in FIELDS])
+    # holders of a key that occurs twice; rows without a key get one of their own, so that they are spread
+    twice = out.where("source_record_key is not null").groupBy(F.col("source_record_key").alias("key_")).agg(F.count("*").alias("n_")).where("n_ > 1").select("key_")
+    own = F.coalesce("source_record_key", F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+    out = out.withColumn("own_", own).join(twice, F.col("own_") == F.col("key_"), "left")
+    retract = F.coalesce(F.col("operation") == "RETRACT", F.lit(False))
+    all_ = F.array(*[F.col(f"issue_{f}") for f in FIELDS])
+    cancel = F.when((F.col("operation") == "CANCEL") & (F.col("state") != "CANCELLED"), F.lit("state:CANCEL_REQUIRES_CANCELLED"))
+    again = F.when(F.col("key_").isNotNull(), F.lit("source_record_key:DUPLICATE_SOURCE_KEY"))
+    key_only = F.array("issue_source_record_key", "issue_operation")
+    found = F.array_sort(F.array_compact(F.concat(F.when(retract, key_only).otherwise(F.array_append(all_, cancel)), F.array(again))))
+    out = out.select(*FIELDS, found.alias("issues"))
+    return out.withColumn("eligible", (F.size("issues") == 0) & ~F.coalesce(F.col("operation") == "RETRACT", F.lit(False)) & (F.coalesce("state", F.lit("")) != "CANCELLED"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +14,7 @@ from ..operators.revisions import merged
 
 
 class Revisions:
-    """Revisions as Parquet folders under ``path``; a head file names the last one and the batch that made it."""
+    """Revisions as Parquet folders under ``path``; a head file for each names its folder and the batch that made it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -20,21 +22,39 @@ class Revisions:
         self._fs = self._fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def head(self) -> dict:
-        rows = self.spark.read.text(f"{self.path}/heads").collect() if self._fs.exists(self._fs_path(f"{self.path}/heads")) else []
-        return max((json.loads(r[0]) for r in rows), key=lambda x: x["revision"], default={"revision": -1, "batch": -1})
+        """The last revision, the batch that made it and its folder (-1 and none before the first)."""
+        folder = self._fs_path(f"{self.path}/heads")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        if not names:
+            return {"revision": -1, "batch": -1, "folder": None}
+        return json.loads(self.spark.read.text(f"{self.path}/heads/{max(names)}").first()[0])
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/revision={self.head()['revision']}")
+        return self.spark.read.parquet(f"{self.path}/data/{self.head()['folder']}")
 
     def publish(self, rows: DataFrame, batch: int, base: int) -> int:
-        """Writes the next revision, then its head; refuses a base that is no longer the head."""
+        """Writes the next revision, then its head; refuses a base that is no longer the head.
+
+        Each writer has a folder of its own, and a revision's head file can be made once only, so of two writers one fails."""
         head = self.head()
         if head["revision"] != base:
             raise ValueError(f"revision {base} is stale; the head is {head['revision']}")
-        rows.write.mode("overwrite").parquet(f"{self.path}/revision={base + 1}")
-        self.spark.createDataFrame([(json.dumps({"revision": base + 1, "batch": batch}),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/heads")
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{folder}")
+        self._claim(base + 1, json.dumps({"revision": base + 1, "batch": batch, "folder": folder}))
         return base + 1
 
+    def _claim(self, revision: int, text: str) -> None:
+        name = self._fs_path(f"{self.path}/heads/{revision:012d}")
+        try:
+            out = self._fs.create(name, False)
+        except Py4JJavaError as error:
+            if self._fs.exists(name):
+                raise ValueError(f"revision {revision} was published by another writer") from error
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """A micro-batch of deltas; one that was published before changes nothing."""
         head = self.head()

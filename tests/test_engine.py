@@ -97,6 +97,26 @@ def test_decisions_and_precedence(spark):
     assert got["R2"][0] == "NO_CANDIDATE" and engine.problems(df, result).count() == 0
 
 
+def test_decisions_with_absent_ends(spark):
+    """A link whose other end is no record reserves its record; a rejection whose other end is none says nothing."""
+    df = spark.createDataFrame([record("L1", "A"), record("R2", "B"), record("L3", "C"), record("R4", "D")], SCHEMA)
+    pairs = lambda x: spark.createDataFrame(x, "left_id string, right_id string")
+    decisions = references.Decisions(pairs([("L1", "Rgone"), ("Lgone", "R2")]), rejected=pairs([("L3", "Rgone")]))
+    got = {r["id"]: r["outcome"] for r in engine.reconcile(df, decisions=decisions).outcomes.collect()}
+    assert got == {"L1": "REVIEWER_RESERVED", "R2": "REVIEWER_RESERVED", "L3": "NO_CANDIDATE", "R4": "NO_CANDIDATE"}
+
+
+def test_run_cap_stops_later_blocks_without_edges(spark):
+    far = datetime(2026, 9, 20, 12)
+    rows = [record(f"{s}{i}", "A") for s in "LR" for i in range(3)] + [record("L7", "B"), record("R7", "B", at=far), record("L8", "C"), record("L9", "0"), record("R9", "0", at=far)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"]: r["outcome"] for r in engine.reconcile(df, Matching(run_edges=5)).outcomes.collect()}
+    assert {got[x] for x in ("L0", "R2", "L7", "R7")} == {"COMPUTATION_LIMITED"}
+    assert {got[x] for x in ("L8", "L9", "R9")} == {"NO_CANDIDATE"}, "no block, or one before the cap was hit"
+    whole = {r["id"]: r["outcome"] for r in engine.reconcile(df, Matching(run_edges=9)).outcomes.collect()}
+    assert whole["L7"] == "NO_CANDIDATE" and whole["L0"] == "AMBIGUOUS"
+
+
 def test_contradiction_and_floor(spark):
     rows = [record("L1", "A", "X"), record("R1", "A", "Y"), record("L2", "B"), record("R2", "B", price="150", at=datetime(2026, 9, 7, 20)), record("L3", "C", price="100"), record("R3", "C", price="100.5")]
     result = engine.reconcile(spark.createDataFrame(rows, SCHEMA))

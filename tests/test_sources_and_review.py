@@ -17,10 +17,10 @@ def rows_of(spark, rows, columns=HEAD):
 
 
 def test_contract(spark):
-    good = ("k1", "2026-09-07T12:00:00Z", "BTC", "BUY", "2.5", "0.000000000001", "1E+25", "SETTLED")
+    good = ("k1", "2026-09-07T12:00:00Z", "BTC", "BUY", "2.5", "0.000000000001", "1E+15", "SETTLED")
     cases = {
         "k2": ({4: "NaN"}, "quantity:NON_FINITE_DECIMAL"), "k3": ({4: "not-money"}, "quantity:INVALID_DECIMAL"), "k4": ({4: "1.1234567890123"}, "quantity:UNSUPPORTED_PRECISION"),
-        "k5": ({3: "HOLD", 5: ""}, "side:UNKNOWN_ENUM,unit_price:EMPTY_VALUE"), "k6": ({1: "2026-09-07 12:00"}, "executed_at:INVALID_DATETIME"), "k7": ({6: "-1"}, "gross_amount:NEGATIVE_VALUE"), "k8": ({2: None}, "instrument:MISSING_VALUE"),
+        "k5": ({3: "HOLD", 5: ""}, "side:UNKNOWN_ENUM,unit_price:EMPTY_VALUE"), "k6": ({1: "2026-09-07 12:00"}, "executed_at:INVALID_DATETIME"), "k7": ({6: "-1"}, "gross_amount:NEGATIVE_VALUE"), "k8": ({2: None}, "instrument:MISSING_VALUE"), "k9": ({6: "1E+25"}, "gross_amount:UNSUPPORTED_PRECISION"), "k10": ({4: "1_000.5", 5: "1E-13"}, "unit_price:UNSUPPORTED_PRECISION"),
     }
     rows = [good, ("twice", *good[1:]), (" twice ", *good[1:])] + [tuple(change.get(i, k if i == 0 else v) for i, v in enumerate(good)) for k, (change, _) in cases.items()]
     got = {(r["source_record_key"], ",".join(r["issues"])) for r in contract.interpreted(rows_of(spark, rows), contract.ledger()).collect()}
@@ -53,19 +53,32 @@ def test_delimited(spark, tmp_path):
 def test_deltas_and_stream(spark, tmp_path):
     base = spark.createDataFrame([("a", 1, "SETTLED"), ("b", 2, "SETTLED"), ("c", 3, "SETTLED")], "source_record_key string, v int, state string")
     kind = "source_record_key string, v int, state string, operation string"
-    first = spark.createDataFrame([("a", 9, "SETTLED", "UPSERT"), ("b", None, None, "CANCEL"), ("c", None, None, "RETRACT"), ("d", 4, "SETTLED", "UPSERT"), ("zz", None, None, "RETRACT")], kind)
-    want = [("a", 9, "SETTLED"), ("b", 2, "CANCELLED"), ("d", 4, "SETTLED")]
+    first = spark.createDataFrame([("a", 9, "SETTLED", "UPSERT"), ("b", 7, "CANCELLED", "CANCEL"), ("c", None, None, "RETRACT"), ("d", 4, "SETTLED", "UPSERT"), ("e", 5, "CANCELLED", "CANCEL"), ("zz", None, None, "RETRACT")], kind)
+    want = [("a", 9, "SETTLED"), ("b", 7, "CANCELLED"), ("d", 4, "SETTLED"), ("e", 5, "CANCELLED")]
     assert sorted(map(tuple, revisions.merged(base, first).collect())) == want
     store = Revisions(spark, f"{tmp_path}/store")
     store.publish(base, -1, -1)
     first.coalesce(1).write.parquet(f"{tmp_path}/in")
     for _ in range(2):
         store.follow(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), f"{tmp_path}/check").awaitTermination()
-    assert sorted(map(tuple, store.read().collect())) == want and store.head() == {"revision": 1, "batch": 0}
+    assert sorted(map(tuple, store.read().collect())) == want and {k: store.head()[k] for k in ("revision", "batch")} == {"revision": 1, "batch": 0}
     store.fold(first, 0)
     assert store.head()["revision"] == 1
     with pytest.raises(ValueError):
         store.publish(base, 5, 0)
+    with pytest.raises(ValueError):  # a writer that read the head before another published
+        store._claim(1, "{}")
+    assert store.head()["batch"] == 0
+
+
+def test_rows_that_need_less_or_more(spark):
+    """RETRACT needs a key only; CANCEL needs a cancelled state; rows without a key are marked once each and never as copies."""
+    held = contract.Contract({**contract.ledger().bindings, "operation": "op"}, {"currency": "USD"}, contract.ledger().enums)
+    rest = ("2026-09-07T12:00:00Z", "BTC", "BUY", "2", "1", "2")
+    rows = [("k1", None, None, None, None, None, None, None, "RETRACT"), ("k2", *rest, "SETTLED", "CANCEL"), ("k3", *rest, "CANCELLED", "CANCEL"), (None, *rest, "SETTLED", "UPSERT"), (None, *rest, "SETTLED", "UPSERT"), (None, None, None, None, None, None, None, None, "RETRACT")]
+    got = sorted((r["source_record_key"] or "", ",".join(r["issues"]), r["eligible"]) for r in contract.interpreted(rows_of(spark, rows, [*HEAD, "op"]), held).collect())
+    missing = ("", "source_record_key:MISSING_VALUE", False)
+    assert got == [missing, missing, missing, ("k1", "", False), ("k2", "state:CANCEL_REQUIRES_CANCELLED", False), ("k3", "", False)]
 
 
 def test_digests_and_activation(spark):
