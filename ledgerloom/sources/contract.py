@@ -58,55 +58,59 @@ def counterparty() -> Contract:
 
 
 def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"^(?U)\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def _cells(raw: DataFrame, contract: Contract) -> DataFrame:
-    """cell_f, text_f (trimmed, null unless it is a value) and state_f (VALUE, MISSING, NULL, EMPTY) for each canonical field f.
+def _cells(raw: DataFrame, contract: Contract, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """states (VALUE, MISSING, NULL, EMPTY) and texts (trimmed, null unless they are values): arrays over ``fields``.
 
-    Each step is a projection whose columns the next one reads several times, so they are evaluated once."""
+    Cells are handled as one array, so the plan holds each rule once and not once for each field."""
     cells = []
-    for name in FIELDS:
+    for name in fields:
         bound = contract.bindings.get(name)
-        cell = F.lit(contract.constants[name]) if name in contract.constants else F.col(f"`{bound}`").cast("string") if bound in raw.columns else F.lit(None).cast("string")
-        cells.append(cell.alias(f"cell_{name}"))
-    held = raw.select(*cells)
-    held = held.select("*", *[_trimmed(F.col(f"cell_{f}")).alias(f"trim_{f}") for f in FIELDS])
-    states = []
-    for name in FIELDS:
-        cell, empty = F.col(f"cell_{name}"), F.col(f"trim_{name}") == ""
+        cells.append(F.lit(contract.constants[name]) if name in contract.constants else F.col(f"`{bound}`").cast("string") if bound in raw.columns else F.lit(None).cast("string"))
+    held = raw.select(F.array(*cells).alias("cells")).select("cells", F.transform("cells", _trimmed).alias("trims"))
+
+    def state(cell: Column, trim: Column) -> Column:
         nulls = cell.isin(*contract.null_tokens) if contract.null_tokens else F.lit(False)
-        state = F.when(cell.isNull(), "MISSING").when(nulls, "NULL").when(empty, "EMPTY").otherwise("VALUE")
-        states.append((F.lit("VALUE") if name in contract.constants else state).alias(f"state_{name}"))
-    held = held.select("*", *states)
-    return held.select("*", *[F.when(F.col(f"state_{f}") == "VALUE", F.col(f"trim_{f}")).alias(f"text_{f}") for f in FIELDS])
+        return F.when(cell.isNull(), "MISSING").when(nulls, "NULL").when(trim == "", "EMPTY").otherwise("VALUE")
+
+    held = held.select("trims", F.zip_with("cells", "trims", state).alias("states"))
+    return held.select("states", F.zip_with("states", "trims", lambda s, t: F.when(s == "VALUE", t)).alias("texts"))
 
 
 def _parsed(held: DataFrame, contract: Contract) -> DataFrame:
-    """Adds plain_f and fine_f of numbers, then value_f of all fields."""
-    held = held.select("*", *[F.regexp_replace(F.col(f"text_{f}"), r"(?<=[0-9])_(?=[0-9])", "").alias(f"plain_{f}") for f in NUMBER])
-    held = held.select("*", *[F.col(f"plain_{f}").rlike(_DECIMAL).alias(f"fine_{f}") for f in NUMBER])
+    """Adds ``numbers`` (struct of value and code for each of ``NUMBER``), value_f of the other fields, state_f and text_f."""
+    at = {f: i for i, f in enumerate(FIELDS)}
+    plain = F.transform(F.array(*[F.col("texts")[at[f]] for f in NUMBER]), lambda t: F.regexp_replace(t, r"(?<=[0-9])_(?=[0-9])", ""))
+    held = held.select("*", plain.alias("plain")).select("*", F.transform("plain", _number).alias("parts"))
+    held = held.select("states", "texts", F.transform("parts", lambda p: F.struct(p["value"].alias("value"), _number_code(p).alias("code"))).alias("numbers"))
     values = []
     for name in FIELDS:
-        text = F.col(f"text_{name}")
-        value = text
+        text = value = F.col("texts")[at[name]]
         if name in ENUM and name in contract.enums:
             value = F.try_element_at(F.create_map(*[F.lit(x) for k, v in contract.enums[name].items() for x in (k, v)]), text)
         elif name in NUMBER:
-            value = F.when(F.col(f"fine_{name}"), F.col(f"plain_{name}")).try_cast("decimal(28,12)")
+            value = F.col("numbers")[NUMBER.index(name)]["value"]
         elif name == "executed_at" and contract.time_format:
             value = F.try_to_timestamp(text, F.lit(contract.time_format))
         elif name == "executed_at":
             value = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(text))
-        values.append(value.alias(f"value_{name}"))
-    return held.select("*", *values)
+        state = F.lit("VALUE") if name in contract.constants else F.col("states")[at[name]]
+        values += [value.alias(f"value_{name}"), text.alias(f"text_{name}"), state.alias(f"state_{name}")]
+    return held.select("numbers", *values)
+
+
+def _number(plain: Column) -> Column:
+    fine = plain.rlike(_DECIMAL)
+    power = F.regexp_extract(plain, r"[eE]([+-]?[0-9]+)$", 1)  # a failing cast costs an exception for each row, so no text is cast
+    decimals = F.length(F.regexp_extract(plain, r"\.([0-9]*)", 1)) - F.coalesce(F.when(power != "", power).try_cast("int"), F.lit(0))
+    odd = ~fine & F.lower(plain).rlike(r"^[+-]?(s?nan[0-9]*|inf|infinity)$")
+    return F.struct(fine.alias("fine"), odd.alias("odd"), decimals.alias("decimals"), F.when(fine, plain).try_cast("decimal(28,12)").alias("value"))
 
 
-def _number_code(name: str) -> Column:
-    plain, value = F.col(f"plain_{name}"), F.col(f"value_{name}")
-    odd = F.lower(plain).rlike(r"^[+-]?(s?nan[0-9]*|inf|infinity)$")
-    decimals = F.length(F.regexp_extract(plain, r"\.([0-9]*)", 1)) - F.coalesce(F.regexp_extract(plain, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    return F.when(odd, "NON_FINITE_DECIMAL").when(~F.col(f"fine_{name}"), "INVALID_DECIMAL").when(value.isNull() | (decimals > 12), "UNSUPPORTED_PRECISION").when(value < 0, "NEGATIVE_VALUE")
+def _number_code(part: Column) -> Column:
+    return F.when(part["odd"], "NON_FINITE_DECIMAL").when(~part["fine"], "INVALID_DECIMAL").when(part["value"].isNull() | (part["decimals"] > 12), "UNSUPPORTED_PRECISION").when(part["value"] < 0, "NEGATIVE_VALUE")
 
 
 def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
@@ -127,7 +131,7 @@ def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
         if name in ENUM and name in contract.enums:
             code = F.coalesce(code, F.when(text.isNotNull() & value.isNull(), F.lit("UNKNOWN_ENUM")))
         elif name in NUMBER:
-            code = F.coalesce(code, _number_code(name))
+            code = F.coalesce(code, F.when(state == "VALUE", F.col("numbers")[NUMBER.index(name)]["code"]))
         elif name == "executed_at":
             found = F.when(value.isNull(), F.lit("INVALID_DATETIME"))
             if contract.time_format:
@@ -141,10 +145,12 @@ def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
         issues.append(code.alias(f"code_{name}"))
     held = held.select(*columns, *issues)
     out = held.select(*[F.when(F.col(f"code_{f}").isNull(), F.col(f"found_{f}")).alias(f) for f in FIELDS], *[F.concat(F.lit(f"{f}:"), F.col(f"code_{f}")).alias(f"issue_{f}") for f in FIELDS])
-    # holders of a key that occurs twice; rows without a key get one of their own, so that they are spread
-    twice = out.where("source_record_key is not null").groupBy(F.col("source_record_key").alias("key_")).agg(F.count("*").alias("n_")).where("n_ > 1").select("key_")
+    # holders of a key that occurs twice; rows without a key get one of their own, which spreads them and keeps filters above the parsing
     own = F.coalesce("source_record_key", F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
-    out = out.withColumn("own_", own).join(twice, F.col("own_") == F.col("key_"), "left")
+    out = out.withColumn("own_", own)
+    keys = _cells(raw, contract, ("source_record_key",)).select(F.coalesce(F.col("texts")[0], F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))).alias("key_"))
+    twice = keys.groupBy("key_").agg(F.count("*").alias("n_")).where("n_ > 1").select("key_")
+    out = out.join(twice, F.col("own_") == F.col("key_"), "left")
     retract = F.coalesce(F.col("operation") == "RETRACT", F.lit(False))
     all_ = F.array(*[F.col(f"issue_{f}") for f in FIELDS])
     cancel = F.when((F.col("operation") == "CANCEL") & (F.col("state") != "CANCELLED"), F.lit("state:CANCEL_REQUIRES_CANCELLED"))
