@@ -125,12 +125,21 @@ def solve(lefts: list, rights: list, scores: list[int], floor: int, solver: Solv
     return total, out
 
 
+def _named(edges: DataFrame) -> DataFrame:
+    """node, component of all nodes. Edges whose ends have no other edge are components by themselves; only the rest takes rounds."""
+    ends = lambda end: edges.groupBy(end).agg(F.count("*").alias(f"n_{end}"))
+    edges = cut(edges.join(ends("left_id"), "left_id").join(ends("right_id"), "right_id"))
+    lone = (F.col("n_left_id") == 1) & (F.col("n_right_id") == 1)
+    alone = edges.where(lone).select(F.explode(F.array("left_id", "right_id")).alias("node"), F.least("left_id", "right_id").alias("component"))
+    return cut(components(edges.where(~lone).select("left_id", "right_id")).unionByName(alone))
+
+
 def proposals(scored: DataFrame, incomplete: DataFrame, policy: Matching, solver: Solver | None = None) -> tuple[DataFrame, DataFrame]:
     """Selected edges with objective, gap and verdict; and node, component, limited of every node above the floor.
 
     ``scored``: left_id, right_id, block, score, covered, contradicted."""
     above = scored.where(F.col("score") > policy.floor)
-    named = components(above.select("left_id", "right_id"))
+    named = _named(above.select("left_id", "right_id"))
     held = above.join(named.withColumnRenamed("node", "left_id"), "left_id")
     bad = incomplete.select(F.col("block").alias("bad_block")).distinct()
     held = held.join(bad, F.col("block") == F.col("bad_block"), "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..operators import assign, candidates, compare, engine, references, review, revisions, scoring
+from ..operators.components import cut
 from ..operators.policy import Comparing, Matching
 from ..sources import contract
 from . import testbed
@@ -83,7 +84,7 @@ def proposals(spark, sf_dir):
     """Selected edges with objective, gap and the gates that they fail."""
     recs = testbed.records(spark, sf_dir)
     rest = references.preprocess(recs).remaining
-    scored = scoring.scores(scoring.with_records(candidates.edges(rest, OPEN).select("left_id", "right_id", "block"), rest), OPEN)
+    scored = cut(scoring.scores(scoring.with_records(candidates.edges(rest, OPEN).select("left_id", "right_id", "block"), rest), OPEN))
     return assign.proposals(scored, spark.createDataFrame([], "block string"), OPEN)[0].drop("component")
 
 
