@@ -45,6 +45,15 @@ def text_of(value: Column) -> Column:
     return F.when(value.isNull(), None).when(value == 0, F.lit("0")).when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
 
 
+def text_of_units(units: Column) -> Column:
+    """Units of 1e-14 as plain text. Digits are cut as text, since a quotient of 38 digits would be rounded."""
+    digits = F.concat(F.lit("0" * 14), F.abs(units).cast("string"))
+    whole = F.regexp_replace(F.substring(digits, F.lit(1), F.length(digits) - 14), "^0+(?=.)", "")
+    part = F.regexp_replace(F.right(digits, F.lit(14)), "0+$", "")
+    text = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)))
+    return F.when(units < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def instant_of(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 

@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass, field
 WEIGHTS = {"quantity": 3500, "timestamp": 2500, "unit_price": 1500, "gross_amount": 2500}
 FLOOR, THRESHOLD, GAP = 7000, 9000, 800
 NODES, EDGES, RUN_EDGES, RECORD_EDGES = 100, 2500, 250_000, 200
+#: References of both sides must agree, or references are local to a source and only aliases (column alias) are shared.
+CONTRACTS = ("SHARED_MUST_AGREE", "SOURCE_LOCAL_OR_ALIAS")
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,11 @@ class Matching:
     edges: int = EDGES
     run_edges: int | None = RUN_EDGES
     record_edges: int | None = RECORD_EDGES
+    reference_contract: str = "SHARED_MUST_AGREE"
 
     def __post_init__(self):
+        if self.reference_contract not in CONTRACTS:
+            raise ValueError(f"the reference contract is one of {', '.join(CONTRACTS)}")
         if sum(self.weights.values()) != 10_000 or set(self.weights) != set(WEIGHTS):
             raise ValueError("weights of the four features must add up to 10000")
         if not self.floor < self.threshold or self.gap > self.threshold:

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact
@@ -35,6 +35,30 @@ def health() -> Column:
     )
 
 
+def attention() -> Column:
+    """What a reviewer should look at, whatever the health: from flags comparison_changed, reference_conflict, search_complete."""
+    return F.array_compact(F.array(
+        F.when(F.col("comparison_changed"), F.lit("COMPARISON_CHANGED")), F.when(F.col("reference_conflict"), F.lit("AUTHORITATIVE_REFERENCE_CONFLICT")), F.when(~F.col("search_complete"), F.lit("DIAGNOSTIC_INCOMPLETE"))
+    ))
+
+
+def timeline(history: DataFrame) -> DataFrame:
+    """``history`` (decision_id, revision, action) with ``previous``, the action before; a decision's revisions are few."""
+    return history.withColumn("previous", F.lag("action").over(Window.partitionBy("decision_id").orderBy("revision")))
+
+
+def offset_page(rows: DataFrame, number: int, *order: str, size: int = 50) -> DataFrame:
+    """Page ``number`` (from 1) by offset; for short lists, since all rows before it are sorted too."""
+    if isinstance(number, bool) or number < 1 or not 1 <= size <= 200:
+        raise ValueError("pages count from 1 and have 1 to 200 rows")
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def best(scored: DataFrame, n: int = 200) -> DataFrame:
+    """The ``n`` candidates with the highest scores, then by ids."""
+    return scored.orderBy(F.desc("score"), "left_id", "right_id").limit(n)
+
+
 def case_key(version: str, kind: str, *parts: tuple[str, Column]) -> Column:
     held = [F.lit(version), F.lit(kind)]
     for label, value in parts:

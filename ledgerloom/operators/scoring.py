@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact
@@ -13,11 +13,32 @@ FIELDS = ["reference", "instrument", "side", "currency", "quantity", "unit_price
 
 def with_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """``pairs`` (left_id, right_id) with both records' fields as l_* and r_*."""
-    left = records.select(F.col("id").alias("left_id"), *[F.col(c).alias(f"l_{c}") for c in FIELDS])
-    right = records.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in FIELDS])
+    fields = FIELDS + [c for c in ("alias",) if c in records.columns]
+    left = records.select(F.col("id").alias("left_id"), *[F.col(c).alias(f"l_{c}") for c in fields])
+    right = records.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in fields])
     return pairs.join(left, "left_id").join(right, "right_id")
 
 
+def _both(name: str) -> Column:
+    return F.col(f"l_{name}").isNotNull() & F.col(f"r_{name}").isNotNull()
+
+
+def contradictions(policy: Matching = Matching()) -> Column:
+    """Sorted codes of the fields that both records have and that differ. Aliases count only if references are local to their sources."""
+    key, code = ("reference", "SHARED_REFERENCE_MISMATCH") if policy.reference_contract == "SHARED_MUST_AGREE" else ("alias", "SHARED_ALIAS_MISMATCH")
+    codes = {"currency": "CURRENCY_MISMATCH", "instrument": "INSTRUMENT_MISMATCH", key: code, "side": "SIDE_MISMATCH"}
+    return F.array_compact(F.array(*[F.when(_both(c) & (F.col(f"l_{c}") != F.col(f"r_{c}")), F.lit(code)) for c, code in codes.items()]))
+
+
+def coverage_failures() -> Column:
+    """Sorted codes of the fields that one of the records lacks; of price and amount one is enough."""
+    lacks = {
+        "MISSING_CURRENCY": ~_both("currency"), "MISSING_INSTRUMENT": ~_both("instrument"), "MISSING_MONETARY_FIELD": ~(_both("unit_price") | _both("gross_amount")),
+        "MISSING_QUANTITY": ~_both("quantity"), "MISSING_SIDE": ~_both("side"), "MISSING_TIMESTAMP": ~_both("executed_at"),
+    }
+    return F.array_compact(F.array(*[F.when(gone, F.lit(code)) for code, gone in lacks.items()]))
+
+
 def scores(pairs: DataFrame, policy: Matching) -> DataFrame:
     """Adds a column for each feature, ``score``, ``contradicted`` and ``covered``. A feature with a missing value gives 0."""
     out = pairs
@@ -30,7 +51,4 @@ def scores(pairs: DataFrame, policy: Matching) -> DataFrame:
     time = exact.share(policy.weights["timestamp"], apart, F.lit(policy.time_band_seconds * 1_000_000).cast("decimal(38,0)"))
     out = out.withColumn("timestamp_bp", F.when(apart.isNull(), F.lit(0)).otherwise(time))
     out = out.withColumn("score", F.col("quantity_bp") + F.col("timestamp_bp") + F.col("unit_price_bp") + F.col("gross_amount_bp"))
-    differ = [F.col(f"l_{c}").isNotNull() & F.col(f"r_{c}").isNotNull() & (F.col(f"l_{c}") != F.col(f"r_{c}")) for c in ("instrument", "side", "currency", "reference")]
-    has = lambda c: F.col(f"l_{c}").isNotNull() & F.col(f"r_{c}").isNotNull()
-    covered = has("instrument") & has("side") & has("currency") & has("quantity") & has("executed_at") & (has("unit_price") | has("gross_amount"))
-    return out.withColumn("contradicted", differ[0] | differ[1] | differ[2] | differ[3]).withColumn("covered", covered)
+    return out.withColumn("contradicted", F.size(contradictions(policy)) > 0).withColumn("covered", F.size(coverage_failures()) == 0)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from ledgerloom.plans import queries as plans
+from ledgerloom.plans import catalogue as plans
 
 SF = "/root/testdata/sf0.001"
 
