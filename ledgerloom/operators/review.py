@@ -19,6 +19,8 @@ EXPORT_FIELDS = [
     "pair_origin", "review_health", "review_attention", "review_state_as_of_utc",
 ]
 
+DECIMALS = "canonical decimal strings"
+
 
 def active(history: DataFrame, superseded: DataFrame) -> DataFrame:
     """The last revision of each decision that is neither revoked nor superseded."""
@@ -124,9 +126,22 @@ def exported(rows: DataFrame) -> DataFrame:
     return rows.select(*[cell(n).alias(n) for n in EXPORT_FIELDS])
 
 
-def write_csv(rows: DataFrame, path: str, *order: str) -> None:
-    """The export as one ordered CSV with CRLF line ends."""
-    exported(rows.orderBy(*order)).coalesce(1).write.option("header", True).option("lineSep", "\r\n").mode("overwrite").csv(path)
+def write_csv(rows: DataFrame, path: str, *order: str, one_file: bool = False) -> None:
+    """The export as CSV with CRLF line ends, in order over its part files. ``one_file``: through one task, for exports that one task can sort."""
+    parts = rows.orderBy(*order)
+    held = exported(parts.coalesce(1).sortWithinPartitions(*order) if one_file else parts)
+    held.write.option("header", True).option("lineSep", "\r\n").mode("overwrite").csv(path)
+
+
+def write_json(rows: DataFrame, path: str, run_id: str, view: str, *order: str) -> None:
+    """The export as ordered JSON lines in ``rows``, then ``head``: view, time zone, encoding of decimals, run and number of rows.
+
+    A head is written last, so a folder without one is no whole export. A folder takes one export and is never written over."""
+    spark = rows.sparkSession
+    exported(rows.orderBy(*order)).write.mode("error").json(f"{path}/rows")
+    total = spark.read.schema("case_id string").json(f"{path}/rows").count()
+    head = spark.createDataFrame([(view, "UTC", DECIMALS, run_id, total)], "view string, timezone string, decimal_encoding string, run_id string, total bigint")
+    head.coalesce(1).write.mode("error").json(f"{path}/head")
 
 
 def metrics(found: DataFrame, truth: DataFrame, candidates: DataFrame) -> DataFrame:

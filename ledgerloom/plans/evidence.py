@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import digests, exact, labels
 from ..operators import assign, candidates, cases, compare, diagnostics, engine, evaluation, references, review, scoring
 from ..operators.components import cut
 from ..operators.passes import Pass, generate
@@ -187,9 +187,26 @@ def claim_conflicts(spark, sf_dir):
     return cases.claim_conflicts(asked, claims).select("request", "decision_id", "revision", F.array_join("claimed", ",").alias("claimed"))
 
 
+def component_digests(spark, sf_dir):
+    run = _run(spark, sf_dir)
+    return digests.components(run.scored, run.nodes, OPEN.floor).drop("component")
+
+
+def fingerprints(spark, sf_dir):
+    """Fingerprints of the left records as observations; the key alone has a provenance."""
+    recs = testbed.records(spark, sf_dir).where("rec_side = 'L'")
+    c = F.col
+    values = {
+        "business_reference": c("reference"), "currency": c("currency"), "executed_at_utc": exact.instant_of(c("executed_at")), "gross_amount": exact.text_of(c("gross_amount")), "instrument": c("instrument"),
+        "quantity": exact.text_of(c("quantity")), "side": c("side"), "source_record_key": c("id"), "state": c("state"), "unit_price": F.lit("1.5"),
+    }
+    origin = F.array(F.struct(*[F.lit(v).alias(n) for n, v in (("canonical_field", "source_record_key"), ("source_column", "trade_id"), ("source_kind", "VALUE"), ("transformation", "trim"))]))
+    return recs.select("id", digests.fingerprint(F.lit(POLICY_DIGEST), F.lit("UPSERT"), values, origin).alias("fingerprint"))
+
+
 QUERIES = {f.__name__: f for f in (
     candidate_passes, candidate_partitions, capped_passes, edge_codes, alias_comparison, field_differences, time_labels, case_rows, accepted_diagnostics, allocation_evidence, link_options, related_ids, run_counters,
-    greedy_pairs, top_candidates, revision_page, decision_timeline, decision_attention, claim_conflicts,
+    greedy_pairs, top_candidates, revision_page, decision_timeline, decision_attention, claim_conflicts, component_digests, fingerprints,
 )}
 
 _ALIASED = "(SELECT *, CASE WHEN k % 9 <> 0 THEN 'A' || CAST((k + CASE WHEN rec_side = 'R' AND k % 29 = 0 THEN 2 ELSE 0 END) // 2 AS VARCHAR) END AS alias FROM {})"
@@ -232,7 +249,17 @@ def _listed(name: str, side: str) -> str:
 _CODES = "concat_ws(',', CASE WHEN lc <> rc THEN 'CURRENCY_MISMATCH' END, CASE WHEN li <> ri THEN 'INSTRUMENT_MISMATCH' END, CASE WHEN {0} <> {1} THEN '{2}' END, CASE WHEN ls <> rs THEN 'SIDE_MISMATCH' END)"
 _NUMBER = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || (abs({0}) // 100) || CASE WHEN {0} % 100 = 0 THEN '' WHEN {0} % 10 = 0 THEN '.' || ((abs({0}) % 100) // 10) ELSE '.' || lpad(CAST(abs({0}) % 100 AS VARCHAR), 2, '0') END"
 
+_AMOUNT = "(cents // 100) || CASE WHEN cents % 100 = 0 THEN '' WHEN cents % 10 = 0 THEN '.' || ((cents % 100) // 10) ELSE '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END"
+_FIELDS = {
+    "business_reference": ("TEXT", "reference"), "currency": ("TEXT", "currency"), "executed_at_utc": ("DATETIME", "strftime(executed_at, '%Y-%m-%dT%H:%M:%S.%fZ')"), "gross_amount": ("DECIMAL", _AMOUNT), "instrument": ("TEXT", "instrument"),
+    "quantity": ("DECIMAL", "quantity"), "side": ("ENUM", "side"), "source_record_key": ("TEXT", "id"), "state": ("ENUM", "state"), "unit_price": ("DECIMAL", "'1.5'"),
+}
+_OBSERVED = " || ',' || ".join(f"""'{{"name":"{n}","tag":"{t}","value":"' || {v} || '"}}'""" for n, (t, v) in _FIELDS.items())
+
 ORACLE_SQL = {
+    "component_digests": f"""{_RUN}, g AS (SELECT center, to_json(list_sort(list(DISTINCT left_id))) AS ls, to_json(list_sort(list(DISTINCT right_id))) AS rs, to_json(list({{'complete': true, 'left_id': left_id, 'right_id': right_id, 'score_bp': score}} ORDER BY left_id, right_id)) AS es FROM star GROUP BY 1),
+ n AS (SELECT *, 'component-' || sha256('{{"left":' || ls || ',"right":' || rs || '}}')[1:16] AS component_id FROM g) SELECT component_id, sha256('{{"assignment_floor_bp":7000,"component_id":"' || component_id || '","edges":' || es || '}}') AS graph_digest FROM n""",
+    "fingerprints": f"""{_B} SELECT id, sha256('{{"kind":"observation","payload":{{"contract_digest":"{POLICY_DIGEST}","fields":[' || {_OBSERVED} || '],"operation":"UPSERT","provenance":[{{"canonical_field":"source_record_key","source_column":"trade_id","source_kind":"VALUE","transformation":"trim"}}]}},"version":"reconciliation-sha256-v1"}}') AS fingerprint FROM l""",
     "candidate_passes": f"{_REST}, {_WAYS} SELECT left_id, right_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM ways GROUP BY 1, 2",
     "candidate_partitions": f"""{_REST}, p AS ({_PARTS}) SELECT 'partition-' || sha256('{{"blocking_pass":"' || reason || '","key":' || block || '}}')[1:16] AS partition_id, reason,
  count(*) FILTER (rec_side = 'L') AS n_left, count(*) FILTER (rec_side = 'R') AS n_right FROM p GROUP BY reason, block HAVING n_left > 0 AND n_right > 0""",
@@ -250,8 +277,8 @@ ORACLE_SQL = {
  UNION ALL SELECT 'UNPAIRED', {_named("UNPAIRED", "'book'", f"'{BOOK}'", "'side'", "CASE rec_side WHEN 'L' THEN 'LEFT' ELSE 'RIGHT' END", "'record'", "id")}, 1, outcome FROM final WHERE partner IS NULL
  UNION ALL SELECT 'AMBIGUITY', 'ambiguity:' || sha256(unhex({_FIXED} || {_listed("left", "L")} || {_listed("right", "R")})), count(*), 'AMBIGUITY' FROM stars SEMI JOIN unsure USING (center) GROUP BY center""",
     "accepted_diagnostics": f"""{_DECIDED_RUN}, now AS (SELECT id, partner FROM pre WHERE partner IS NOT NULL UNION ALL SELECT * FROM matched),
- {_EDGES_OF.replace("rest AS", "rest2 AS").replace("SELECT * FROM pre WHERE outcome = 'REMAINING'", "SELECT * FROM recs WHERE state <> 'CANCELLED'").replace("e AS", "e2 AS").replace("FROM rest a JOIN rest b", "FROM rest2 a JOIN rest2 b").replace("INTERVAL 24 HOUR)", "INTERVAL 24 HOUR AND a.k % 103 = 0 AND a.k % 101 <> 0 AND NOT (a.k = b.k AND b.id[1] = 'R' AND a.k % 107 = 0))")},
- {_SCORED.replace("f AS", "f2 AS").replace("FROM e)", "FROM e2)").replace("s AS (", "s2 AS (").replace("FROM f)", "FROM f2)")}
+ {_EDGES_OF.replace("rest AS", "rest2 AS").replace("SELECT * FROM pre WHERE outcome = 'REMAINING'", "SELECT * FROM recs WHERE state <> 'CANCELLED'").replace(", e AS (", ", e2 AS (").replace("FROM rest a JOIN rest b", "FROM rest2 a JOIN rest2 b").replace("INTERVAL 24 HOUR)", "INTERVAL 24 HOUR AND a.k % 103 = 0 AND a.k % 101 <> 0 AND NOT (a.k = b.k AND b.id[1] = 'R' AND a.k % 107 = 0))")},
+ {_SCORED.replace("f AS (SELECT", "f2 AS (SELECT").replace("FROM e)", "FROM e2)").replace(", s AS (SELECT", ", s2 AS (SELECT").replace("FROM f)", "FROM f2)")}
  SELECT 'ACCEPTED_UNMATCHED_CANDIDATE' AS kind, left_id AS record_id, right_id AS candidate_id, partner AS current_partner, score, true AS complete FROM s2 LEFT JOIN now ON now.id = right_id WHERE score >= 9000 AND covered AND NOT contradicted""",
     "allocation_evidence": f"""{_RUN}, {_MEMBERS} SELECT s.left_id, s.right_id, s.score, c.left_id IS NOT NULL AS selected, coalesce(c.failing = '', false) AS accepted, c.gap, c.failing
  FROM s JOIN stars x ON x.id = s.left_id JOIN stars y ON y.id = s.right_id AND x.center = y.center LEFT JOIN chosen c ON c.left_id = s.left_id AND c.right_id = s.right_id""",
