@@ -576,10 +576,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents
+  SELECT doc_id, [translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FOR x IN regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')] AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i:i+2], ' '))) END AS sh FROM w
+    ELSE list_distinct([array_to_string(ws[i:i+2], ' ') FOR i IN range(1, len(ws) - 1)]) END AS sh FROM w
 ), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
 n AS (SELECT doc_id, len(sh) AS n FROM s),
 r AS (SELECT doc_id, g FROM e WHERE g IN (SELECT g FROM e GROUP BY g HAVING count(*) > 1)),
