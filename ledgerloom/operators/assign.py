@@ -96,6 +96,18 @@ def _total(gain: np.ndarray, columns: np.ndarray) -> int:
     return int(gain[rows, columns[rows]].sum())
 
 
+def checked(picked: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """What a solver of one's own picked: one column in range for each row, none twice; else an error."""
+    picked = np.asarray(picked)
+    if picked.shape != (rows,) or picked.dtype.kind not in "iu":
+        raise ValueError("a solver gives the number of one column for each row")
+    if len(picked) and (picked.min() < 0 or picked.max() >= columns):
+        raise ValueError("a solver picked a column out of range")
+    if len(np.unique(picked)) != rows:
+        raise ValueError("a solver picked a column twice")
+    return picked
+
+
 def solve(lefts: list, rights: list, scores: list[int], floor: int, solver: Solver | None = None) -> tuple[int, list[tuple]]:
     """Objective and selected edges (left, right, objective without the edge). A ``solver`` of one's own is run anew for each."""
     rows, columns = sorted(set(lefts)), sorted(set(rights))
@@ -110,7 +122,7 @@ def solve(lefts: list, rights: list, scores: list[int], floor: int, solver: Solv
             paths.add(i)
         picked = paths.column_of[: len(rows)]
     else:
-        picked = solver(costs)
+        picked = checked(solver(costs), *costs.shape)
     total, out = _total(gain, picked), []
     for i, j in enumerate(picked.tolist()):
         if j >= len(columns) or not gain[i, j]:
@@ -120,7 +132,7 @@ def solve(lefts: list, rights: list, scores: list[int], floor: int, solver: Solv
         else:
             less = gain.copy()
             less[i, j] = 0
-            rest = _total(less, solver(_costs(less)))
+            rest = _total(less, checked(solver(_costs(less)), *costs.shape))
         out.append((rows[i], columns[j], rest))
     return total, out
 

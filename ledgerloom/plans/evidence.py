@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, exact, labels
-from ..operators import assign, candidates, cases, compare, diagnostics, engine, evaluation, references, review, scoring
+from ..operators import assign, candidates, cases, commands, compare, diagnostics, engine, evaluation, memberships, references, review, scoring
 from ..operators.components import cut
 from ..operators.passes import Pass, generate
 from ..operators.policy import Comparing, Matching
 from . import testbed
+from .queries import ORACLE_SQL as queries_sql
 from .queries import _B, _BOTH, _CHOSEN, _DECIDED, _EDGES_OF, _EIGHT, _PRE, _SCORED, OPEN
 
 PASSES = [Pass("general"), Pass("alias", ("instrument", "alias"), None), Pass("any-side", ("instrument", "currency"), 3600, "2")]
@@ -177,6 +178,46 @@ def decision_attention(spark, sf_dir):
     return flags.groupBy(F.array_join(review.attention(), ",").alias("attention")).agg(F.count("*").alias("n"))
 
 
+def outcomes_by_passes(spark, sf_dir):
+    """The engine with three passes, one of which has a window, that find together what the policy's own block finds."""
+    recs = testbed.records(spark, sf_dir)
+    return engine.reconcile(recs, OPEN, decisions=testbed.decisions(recs), passes=[Pass("near", window_seconds=3600), Pass("general"), Pass("nearest", window_seconds=60)]).outcomes
+
+
+def decision_verdicts(spark, sf_dir):
+    """Each 3rd key's decision links its L and the R three keys on, each 12th's is revoked. Each 5th key sends a command by its place among 20, each 25th one more."""
+    recs = testbed.records(spark, sf_dir)
+    keys = recs.where("rec_side = 'L'").select("k")
+    k = F.col("k")
+    name = lambda s, x=k: F.concat(F.lit(s), x.cast("string"))
+    begun = keys.where(k % 3 == 0).select(name("D").alias("decision_id"), F.explode(F.sequence(F.lit(1), F.when(k % 12 == 0, 2).otherwise(1))).alias("revision"), name("L").alias("left_id"), name("R", k + 3).alias("right_id"))
+    history = begun.select("decision_id", "revision", F.when(F.col("revision") == 2, "REVOKE").otherwise("LINK").alias("action"), F.lit("LINK").alias("authority"), "left_id", "right_id")
+    action = F.when(k % 20 == 0, "REPLACE").when(k % 20 == 5, "LINK").when(k % 20 == 10, "REVOKE").otherwise("REAFFIRM")
+    sent = keys.where(k % 5 == 0).select("k", name("C").alias("command"), action.alias("action")).unionByName(keys.where(k % 25 == 0).select("k", name("B").alias("command"), F.lit("LINK").alias("action")))
+    has_ends, later = F.col("action").isin("LINK", "REPLACE"), F.col("action") != "LINK"
+    sent = sent.select(
+        "command", F.when(k % 35 == 0, 6).otherwise(7).alias("generation"), "action", F.when(has_ends, "LINK").alias("authority"), F.when(has_ends, name("L")).alias("left_id"), F.when(has_ends, name("R")).alias("right_id"),
+        F.when(later, name("D")).alias("target_id"), F.when(later, 1).alias("target_revision"), F.when(later & (k % 40 == 0), F.array(F.concat(name("D", k - 3), F.lit("@1")))).alias("approved"),
+    )
+    out = commands.judged(sent, recs.select("id"), history, spark.createDataFrame([], "decision_id string"), 7)
+    return out.select("command", "action", "left_id", "right_id", F.array_join("conflicts", ",").alias("conflicts"), "code")
+
+
+def membership_problems(spark, sf_dir):
+    """Each record's observation is of the next key for each 11th, unknown for each 13th; each 17th record is of another source, each 19th a member twice."""
+    keys = testbed.records(spark, sf_dir).where("rec_side = 'L'").select("k")
+    k = F.col("k")
+    name = lambda s, x=k: F.concat(F.lit(s), x.cast("string"))
+    members = keys.select(name("L").alias("logical_id"), F.explode(F.array_repeat(name("V"), F.when(k % 19 == 0, 2).otherwise(1))).alias("observation_id"))
+    logicals = keys.select(name("L").alias("logical_id"), F.when(k % 17 == 0, "other").otherwise("ledger").alias("source"))
+    observations = keys.where(k % 13 != 0).select(name("V").alias("observation_id"), name("L", F.when(k % 11 == 0, k + 1).otherwise(k)).alias("logical_id"))
+    return memberships.problems(members, logicals, observations, "ledger")
+
+
+def eligible_members(spark, sf_dir):
+    return memberships.eligible(testbed.records(spark, sf_dir).withColumn("eligible", F.col("k") % 10 != 0)).select("id", "state")
+
+
 def claim_conflicts(spark, sf_dir):
     """Each 5th key asks to link L and R; each 3rd key's decision claims its L and the next key's R, and replaces nothing but each 30th."""
     recs = testbed.records(spark, sf_dir).where("rec_side = 'L'").select("k")
@@ -207,6 +248,7 @@ def fingerprints(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     candidate_passes, candidate_partitions, capped_passes, edge_codes, alias_comparison, field_differences, time_labels, case_rows, accepted_diagnostics, allocation_evidence, link_options, related_ids, run_counters,
     greedy_pairs, top_candidates, revision_page, decision_timeline, decision_attention, claim_conflicts, component_digests, fingerprints,
+    outcomes_by_passes, decision_verdicts, membership_problems, eligible_members,
 )}
 
 _ALIASED = "(SELECT *, CASE WHEN k % 9 <> 0 THEN 'A' || CAST((k + CASE WHEN rec_side = 'R' AND k % 29 = 0 THEN 2 ELSE 0 END) // 2 AS VARCHAR) END AS alias FROM {})"
@@ -295,6 +337,21 @@ ORACLE_SQL = {
     "decision_timeline": f"""{_B}, h AS (SELECT id AS decision_id, k, CAST(unnest(range(1, CAST(k % 3 + 2 AS BIGINT))) AS INTEGER) AS revision FROM l), x AS (SELECT decision_id, revision, CASE WHEN k % 5 = 0 AND revision = k % 3 + 1 THEN 'REVOKE' WHEN revision = 1 THEN 'CREATE' ELSE 'REAFFIRM' END AS action FROM h)
  SELECT *, lag(action) OVER (PARTITION BY decision_id ORDER BY revision) AS previous FROM x""",
     "decision_attention": f"{_B} SELECT concat_ws(',', CASE WHEN k % 3 = 0 THEN 'COMPARISON_CHANGED' END, CASE WHEN k % 5 = 0 THEN 'AUTHORITATIVE_REFERENCE_CONFLICT' END, CASE WHEN k % 7 = 0 THEN 'DIAGNOSTIC_INCOMPLETE' END) AS attention, count(*) AS n FROM l GROUP BY 1",
+    "outcomes_by_passes": queries_sql["outcomes"],
+    "decision_verdicts": f"""{_B}, act AS (SELECT k FROM l WHERE k % 3 = 0 AND k % 12 <> 0),
+ cmd AS (SELECT 'C' || k AS command, k, CASE k % 20 WHEN 0 THEN 'REPLACE' WHEN 5 THEN 'LINK' WHEN 10 THEN 'REVOKE' ELSE 'REAFFIRM' END AS action FROM l WHERE k % 5 = 0 UNION ALL SELECT 'B' || k, k, 'LINK' FROM l WHERE k % 25 = 0),
+ c AS (SELECT cmd.*, action IN ('LINK', 'REPLACE') AS fresh, own.k IS NOT NULL AS held, before.k AS kb, rl.id IS NOT NULL AS has_r, r3.id IS NOT NULL AS has_r3 FROM cmd LEFT JOIN act own ON own.k = cmd.k LEFT JOIN act before ON before.k = cmd.k - 3
+  LEFT JOIN recs rl ON rl.id = 'R' || cmd.k LEFT JOIN recs r3 ON r3.id = 'R' || (cmd.k + 3)),
+ d AS (SELECT *, CASE WHEN fresh THEN concat_ws(',', CASE WHEN kb IS NOT NULL THEN 'D' || kb || '@1' END, CASE WHEN action = 'LINK' AND held THEN 'D' || k || '@1' END) ELSE '' END AS raw FROM c),
+ x AS (SELECT *, array_to_string(list_sort([y FOR y IN string_split(raw, ',') IF y <> '']), ',') AS conflicts FROM d),
+ v AS (SELECT *, CASE WHEN k % 35 = 0 THEN 'STALE_GENERATION' WHEN action <> 'LINK' AND NOT held THEN 'STALE_REVISION' WHEN fresh AND NOT has_r OR action = 'REAFFIRM' AND NOT has_r3 THEN 'UNKNOWN_RECORD'
+  WHEN action = 'LINK' AND conflicts <> '' THEN 'ENDPOINT_CLAIMED' WHEN action = 'REPLACE' AND conflicts <> CASE WHEN k % 40 = 0 THEN 'D' || (k - 3) || '@1' ELSE '' END THEN 'CONFLICT_SET_CHANGED' END AS code FROM x),
+ t AS (SELECT command, unnest(CASE action WHEN 'LINK' THEN ['L' || k, 'R' || k] WHEN 'REPLACE' THEN ['L' || k, 'R' || k, 'D' || k, 'D' || kb] ELSE ['D' || k] END) AS thing FROM v WHERE code IS NULL),
+ f AS (SELECT thing, min(command) AS first FROM t WHERE thing IS NOT NULL GROUP BY 1), lost AS (SELECT DISTINCT command FROM t JOIN f USING (thing) WHERE command <> first)
+ SELECT v.command, action, CASE WHEN fresh OR held THEN 'L' || k END AS left_id, CASE WHEN fresh THEN 'R' || k WHEN held THEN 'R' || (k + 3) END AS right_id, conflicts, coalesce(code, CASE WHEN lost.command IS NOT NULL THEN 'CONTENDED' END) AS code FROM v LEFT JOIN lost ON lost.command = v.command""",
+    "membership_problems": f"""{_B} SELECT CASE WHEN k % 13 = 0 THEN 'UNKNOWN_OBSERVATION' WHEN k % 11 = 0 THEN 'OBSERVATION_OF_ANOTHER_RECORD' ELSE 'RECORD_OF_ANOTHER_SOURCE' END AS what, id AS logical_id, 'V' || k AS observation_id
+ FROM (SELECT *, unnest(range(CAST(CASE WHEN k % 19 = 0 THEN 2 ELSE 1 END AS BIGINT))) AS i FROM l) WHERE k % 13 = 0 OR k % 11 = 0 OR k % 17 = 0 UNION ALL SELECT 'MEMBER_TWICE', id, 'V' || k FROM l WHERE k % 19 = 0""",
+    "eligible_members": f"{_B} SELECT id, state FROM recs WHERE state = 'SETTLED' AND k % 10 <> 0",
     "claim_conflicts": f"""{_B}, q AS (SELECT k, unnest(['L' || k, 'R' || k]) AS id FROM l WHERE k % 5 = 0), d AS (SELECT k, unnest(['L' || k, 'R' || (k + 1)]) AS id FROM l WHERE k % 3 = 0), h AS (SELECT DISTINCT q.k AS qk, d.k AS dk FROM q JOIN d USING (id) WHERE NOT (q.k % 30 = 0 AND q.k = d.k))
  SELECT 'Q' || qk AS request, 'D' || dk AS decision_id, 1 AS revision, 'L' || dk || ',R' || (dk + 1) AS claimed FROM h""",
 }

@@ -14,6 +14,8 @@ ENUM = ("side", "state", "operation")
 NUMBER = ("quantity", "unit_price", "gross_amount")
 FIELDS = (*TEXT, *ENUM, *NUMBER, "executed_at")
 REQUIRED = ("source_record_key", "instrument", "side", "quantity", "unit_price", "gross_amount", "currency", "executed_at", "state", "operation")
+#: What becomes of a local time that occurs twice.
+FOLDS = ("REJECT", "EARLIER", "LATER")
 _DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -28,8 +30,11 @@ class Contract:
     time_format: str | None = None
     zone: str = "UTC"
     delta: bool = False
+    fold: str = "REJECT"
 
     def __post_init__(self):
+        if self.fold not in FOLDS:
+            raise ValueError(f"a local time that occurs twice is handled as one of {', '.join(FOLDS)}")
         both = set(self.bindings) & set(self.constants)
         if both:
             raise ValueError(f"bound to a column and to a constant: {sorted(both)}")
@@ -101,6 +106,20 @@ def _parsed(held: DataFrame, contract: Contract) -> DataFrame:
     return held.select("numbers", *values)
 
 
+def _instants(held: DataFrame, zone: str) -> DataFrame:
+    """Adds earlier_ and later_: the first and last instant that has the local time value_executed_at in ``zone`` (null: none has).
+
+    An instant is tried with the zone's offset a day before and a day after; it counts if it gives the local time back. So shifts of any size are seen."""
+    local, near = F.col("value_executed_at"), F.unix_micros(F.to_utc_timestamp("value_executed_at", zone))
+    tried = []
+    for day in (-86_400_000_000, 86_400_000_000):
+        at = F.timestamp_micros(near + day)
+        tried.append(F.timestamp_micros(F.unix_micros(local) - F.unix_micros(F.from_utc_timestamp(at, zone)) + F.unix_micros(at)))
+    held = held.select("*", *[x.alias(f"tried_{i}") for i, x in enumerate(tried)])
+    fine = [F.when(F.from_utc_timestamp(f"tried_{i}", zone) == local, F.col(f"tried_{i}")) for i in (0, 1)]
+    return held.select("*", F.least(*fine).alias("earlier_"), F.greatest(*fine).alias("later_"))
+
+
 def _number(plain: Column) -> Column:
     fine = plain.rlike(_DECIMAL)
     power = F.regexp_extract(plain, r"[eE]([+-]?[0-9]+)$", 1)  # a failing cast costs an exception for each row, so no text is cast
@@ -122,8 +141,7 @@ def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
     beyond which scores would not be exact."""
     held = _parsed(_cells(raw, contract), contract)
     if contract.time_format:
-        local = F.col("value_executed_at")
-        held = held.withColumn("utc_", F.to_utc_timestamp(local, contract.zone))
+        held = _instants(held, contract.zone)
     columns, issues = [], []
     for name in FIELDS:
         state, text, value = (F.col(f"{x}_{name}") for x in ("state", "text", "value"))
@@ -135,11 +153,10 @@ def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
         elif name == "executed_at":
             found = F.when(value.isNull(), F.lit("INVALID_DATETIME"))
             if contract.time_format:
-                local, value = value, F.col("utc_")
-                gap = F.from_utc_timestamp(value, contract.zone) != local
-                twice = F.from_utc_timestamp(value + F.expr("interval 1 hour"), contract.zone) == local
-                before = F.from_utc_timestamp(value - F.expr("interval 1 hour"), contract.zone) == local
-                found = found.when(gap, "NONEXISTENT_DATETIME").when(twice | before, "AMBIGUOUS_DATETIME")
+                value = F.col("later_") if contract.fold == "LATER" else F.col("earlier_")
+                found = found.when(value.isNull(), "NONEXISTENT_DATETIME")
+                if contract.fold == "REJECT":
+                    found = found.when(F.col("earlier_") != F.col("later_"), "AMBIGUOUS_DATETIME")
             code = F.coalesce(code, found)
         columns.append(value.alias(f"found_{name}"))
         issues.append(code.alias(f"code_{name}"))

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.revisions import merged
+from ..sources.store import Store
 
 
 class Revisions:
     """Revisions as Parquet folders under ``path``; a head file for each names its folder and the batch that made it."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.path, self.store = spark, path, Store(spark, path)
 
     def head(self) -> dict:
         """The last revision, the batch that made it and its folder (-1 and none before the first)."""
-        folder = self._fs_path(f"{self.path}/heads")
-        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        if not names:
-            return {"revision": -1, "batch": -1, "folder": None}
-        return json.loads(self.spark.read.text(f"{self.path}/heads/{max(names)}").first()[0])
+        names = self.store.names("heads")
+        return self.store.read(f"heads/{names[-1]}") if names else {"revision": -1, "batch": -1, "folder": None}
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/data/{self.head()['folder']}")
@@ -41,19 +35,11 @@ class Revisions:
             raise ValueError(f"revision {base} is stale; the head is {head['revision']}")
         folder = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/data/{folder}")
-        self._claim(base + 1, json.dumps({"revision": base + 1, "batch": batch, "folder": folder}))
+        self._claim(base + 1, {"revision": base + 1, "batch": batch, "folder": folder})
         return base + 1
 
-    def _claim(self, revision: int, text: str) -> None:
-        name = self._fs_path(f"{self.path}/heads/{revision:012d}")
-        try:
-            out = self._fs.create(name, False)
-        except Py4JJavaError as error:
-            if self._fs.exists(name):
-                raise ValueError(f"revision {revision} was published by another writer") from error
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
+    def _claim(self, revision: int, head: dict) -> None:
+        self.store.claim(f"heads/{revision:012d}", head)
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """A micro-batch of deltas; one that was published before changes nothing."""
