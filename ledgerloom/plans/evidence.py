@@ -185,12 +185,12 @@ def outcomes_by_passes(spark, sf_dir):
 
 
 def decision_verdicts(spark, sf_dir):
-    """Each 3rd key's decision links its L and the R three keys on, each 12th's is revoked. Each 5th key sends a command by its place among 20, each 25th one more."""
+    """Each 3rd key's decision links its L and the R three keys on, each 21st's is revoked. Each 5th key sends a command by its place among 20, each 25th one more."""
     recs = testbed.records(spark, sf_dir)
     keys = recs.where("rec_side = 'L'").select("k")
     k = F.col("k")
     name = lambda s, x=k: F.concat(F.lit(s), x.cast("string"))
-    begun = keys.where(k % 3 == 0).select(name("D").alias("decision_id"), F.explode(F.sequence(F.lit(1), F.when(k % 12 == 0, 2).otherwise(1))).alias("revision"), name("L").alias("left_id"), name("R", k + 3).alias("right_id"))
+    begun = keys.where(k % 3 == 0).select(name("D").alias("decision_id"), F.explode(F.sequence(F.lit(1), F.when(k % 21 == 0, 2).otherwise(1))).alias("revision"), name("L").alias("left_id"), name("R", k + 3).alias("right_id"))
     history = begun.select("decision_id", "revision", F.when(F.col("revision") == 2, "REVOKE").otherwise("LINK").alias("action"), F.lit("LINK").alias("authority"), "left_id", "right_id")
     action = F.when(k % 20 == 0, "REPLACE").when(k % 20 == 5, "LINK").when(k % 20 == 10, "REVOKE").otherwise("REAFFIRM")
     sent = keys.where(k % 5 == 0).select("k", name("C").alias("command"), action.alias("action")).unionByName(keys.where(k % 25 == 0).select("k", name("B").alias("command"), F.lit("LINK").alias("action")))
@@ -338,7 +338,7 @@ ORACLE_SQL = {
  SELECT *, lag(action) OVER (PARTITION BY decision_id ORDER BY revision) AS previous FROM x""",
     "decision_attention": f"{_B} SELECT concat_ws(',', CASE WHEN k % 3 = 0 THEN 'COMPARISON_CHANGED' END, CASE WHEN k % 5 = 0 THEN 'AUTHORITATIVE_REFERENCE_CONFLICT' END, CASE WHEN k % 7 = 0 THEN 'DIAGNOSTIC_INCOMPLETE' END) AS attention, count(*) AS n FROM l GROUP BY 1",
     "outcomes_by_passes": queries_sql["outcomes"],
-    "decision_verdicts": f"""{_B}, act AS (SELECT k FROM l WHERE k % 3 = 0 AND k % 12 <> 0),
+    "decision_verdicts": f"""{_B}, act AS (SELECT k FROM l WHERE k % 3 = 0 AND k % 21 <> 0),
  cmd AS (SELECT 'C' || k AS command, k, CASE k % 20 WHEN 0 THEN 'REPLACE' WHEN 5 THEN 'LINK' WHEN 10 THEN 'REVOKE' ELSE 'REAFFIRM' END AS action FROM l WHERE k % 5 = 0 UNION ALL SELECT 'B' || k, k, 'LINK' FROM l WHERE k % 25 = 0),
  c AS (SELECT cmd.*, action IN ('LINK', 'REPLACE') AS fresh, own.k IS NOT NULL AS held, before.k AS kb, rl.id IS NOT NULL AS has_r, r3.id IS NOT NULL AS has_r3 FROM cmd LEFT JOIN act own ON own.k = cmd.k LEFT JOIN act before ON before.k = cmd.k - 3
   LEFT JOIN recs rl ON rl.id = 'R' || cmd.k LEFT JOIN recs r3 ON r3.id = 'R' || (cmd.k + 3)),
