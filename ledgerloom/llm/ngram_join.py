@@ -1,7 +1,7 @@
 """Operator 4: exact n-gram Jaccard join by universe partitions.
 
-A text's set is its distinct n-word shingles (hashed to 64 bits). Texts with equal sets are one class; the
-join works on classes. It finds every pair of classes with 100 * |A & B| >= percent * |A | B|, as links and
+A text's set is its distinct n-word shingles (hashed to 64 bits). Texts with equal sets are one class, known by a
+hash of 64 bits; sets of one name but other sizes or parities (512 bits) are told apart. The join works on classes. It finds every pair of classes with 100 * |A & B| >= percent * |A | B|, as links and
 as connected components.
 
 *Size bands.* A set of band k can only match sets of bands k-1 to k+1. Pairs whose smaller set lies in band
@@ -58,7 +58,7 @@ from .graph import components
 
 @dataclass(frozen=True)
 class Join:
-    """Parameters. ``percent``: the Jaccard threshold in hundredths."""
+    """Parameters. ``percent``: the Jaccard threshold in hundredths; ``name_bits``: of a class's name at first."""
 
     words: int = 5
     percent: int = 80
@@ -67,6 +67,7 @@ class Join:
     hot: int = 256
     salt_rows: int = 2_000
     broadcast_rows: int = 1_000_000
+    name_bits: int = 64
 
 
 @dataclass(frozen=True)
@@ -196,17 +197,20 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def _measured(words: int) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
-    """n, class (null for an empty set) and parities of each text of a batch."""
+def _measured(words: int, more: Callable[[np.ndarray], np.ndarray | None] | None = None, name_bits: int = 64) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
+    """n, class (null for an empty set) and parities of each text of a batch, and a list that ``more`` makes of the shingles of each."""
 
     def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        ns, ids, odd = [], [], []
+        ns, ids, odd, others = [], [], [], []
         for shingles in _shingles(data, offsets, words):
             ns.append(len(shingles))
-            ids.append(set_id(shingles) if len(shingles) else None)
+            ids.append(set_id(shingles) >> 64 - name_bits if len(shingles) else None)
             odd.append(parities(shingles))
+            if more:
+                others.append(more(shingles))
         bits = np.array(odd, np.int64).reshape(-1, len(PARITIES))
-        return [pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in bits.T)]
+        out = [pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in bits.T)]
+        return out + [pa.array(others, pa.list_(pa.int64()))] if more else out
 
     return run
 
@@ -230,14 +234,12 @@ def index(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratc
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits, kept = common.clamp(math.log2(max(1, 2 * total / bucket_names)), 4, 32), 32
     names = ["signature", "class", "band", "segment", "counts", "spare"]
-    places = scratch.keep(classes.groupBy("part", "chunk").agg(F.collect_list("place").alias("places")).withColumn("bucket", F.lit(None).cast("bigint")).withColumn("met", F.lit(None).cast("binary")))
-
-    def of(told: list[dict]) -> list[int]:
-        return [p for t in told if t["bucket"] is None for p in t["places"]]
+    places = scratch.keep(classes.groupBy("part", "chunk").agg(F.collect_list(F.struct("place", "class")).alias("places")).withColumn("bucket", F.lit(None).cast("bigint")).withColumn("met", F.lit(None).cast("binary")))
 
     def sets(ends: bytes, data: bytes, told: list[dict]) -> Iterator[tuple[int, list]]:
-        for place, shingles in _chunk_sets(ends, data, of(told), words):
-            yield set_id(shingles), index_rows(shingles, percent)
+        own = {p["place"]: p["class"] for t in told if t["bucket"] is None for p in t["places"]}
+        for place, shingles in _chunk_sets(ends, data, list(own), words):
+            yield own[place], index_rows(shingles, percent)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, chunk, ends, data, told in fields(batches, "part", "chunk", "ends", "data", "told"):
@@ -262,7 +264,7 @@ def index(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratc
                 met = read(whole[0].view(np.uint64), bits, kept, [t for t in told if t["bucket"] is not None])
                 yield pa.RecordBatch.from_arrays([pa.array(x[met], k) for x, k in zip(whole, kinds)], names=names)
 
-    answers = scratch.keep(answered(chunks.told(places, "inner").mapInArrow(first, SENT), kept).withColumn("places", F.lit(None).cast("array<int>")))
+    answers = scratch.keep(answered(chunks.told(places, "inner").mapInArrow(first, SENT), kept).withColumn("places", F.lit(None).cast("array<struct<place:int,class:bigint>>")))
     scratch.swept()
     out = scratch.keep(chunks.told(places.unionByName(answers), "inner").mapInArrow(second, "signature bigint, class bigint, band smallint, segment int, counts tinyint, spare int"))
     scratch.drop(places, answers)
@@ -451,6 +453,11 @@ def buckets(met: DataFrame, join: Join, scratch: common.Scratch) -> DataFrame:
     enough = marked.where("hot").join(lost, (F.col("class") == F.col("class_")) & (F.col("band") == F.col("band_")), "left_anti")
     rows = scratch.keep(marked.where("not hot").select("signature", "class").unionByName(enough.select("signature", "class")))
     scratch.drop(marked)
+    return weighed(rows, scratch)
+
+
+def weighed(rows: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """signature, weight, class: ``rows`` (signature, class; kept in ``scratch``) of the signatures that two classes have, one signature of those that the same classes have."""
     same = [F.bit_xor(F.xxhash64(F.lit(k), "class")).alias(f"of{k}") for k in (1, 2)]
     prints = rows.groupBy("signature").agg(F.count("*").alias("classes"), *same).where("classes > 1")
     prints = prints.groupBy("classes", "of1", "of2").agg(F.min("signature").alias("signature_"), F.count("*").alias("weight")).select("signature_", "weight")
@@ -459,11 +466,17 @@ def buckets(met: DataFrame, join: Join, scratch: common.Scratch) -> DataFrame:
     return out
 
 
-def links(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, bucket_names: int) -> DataFrame | None:
-    """class, component of the classes that share a bucket with another. ``classes``: class, n, part, chunk, place and parities."""
+def pigeonholes(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, bucket_names: int = 1 << 20) -> DataFrame:
+    """signature, weight, class: buckets of which any two linked classes share one."""
     met = index(chunks, classes, join, scratch, bucket_names)
     shared = buckets(met, join, scratch)
     scratch.drop(met)
+    return shared
+
+
+def links(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratch, shared: DataFrame) -> DataFrame | None:
+    """class, component of the classes that share a bucket with another. ``classes``: class, n, part, chunk, place and parities;
+    ``shared``: their buckets (signature, weight, class)."""
     scratch.swept()
     if common.is_empty(shared):
         return None
@@ -517,18 +530,27 @@ def links(chunks: Chunks, classes: DataFrame, join: Join, scratch: common.Scratc
     return scratch.keep(state.select("class", "component"))
 
 
-def grouped(df: DataFrame, join: Join, chunk_bytes: int = 4 << 20, bucket_names: int = 1 << 20) -> DataFrame:
-    """doc_id, text_key, n, component (null for an empty set), component_id for each row of (doc_id, text)."""
+def grouped(df: DataFrame, join: Join, chunk_bytes: int = 4 << 20, bucketed: Callable = pigeonholes, measured: str = "", measure: Callable | None = None) -> DataFrame:
+    """doc_id, text_key, n, component (null for an empty set), component_id for each row of (doc_id, text). ``bucketed`` (chunks, classes, join,
+    scratch) makes the buckets; for it, ``measure`` may make the columns ``measured`` of a set from its shingles, which ``classes`` then has too."""
     scratch = common.Scratch(df.sparkSession, "ngram_join")
-    measured = ", ".join(f"{c}: bigint" for c in ("n", "class", *PARITIES))
-    chunks = Chunks(df.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), chunk_bytes, measured, _measured(join.words))
+    more = [x.split(":")[0].strip() for x in measured.split(",") if x]
+    columns = ", ".join([*(f"{c}: bigint" for c in ("n", "class", *PARITIES)), *([measured] if measured else [])])
+    chunks = Chunks(df.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), chunk_bytes, columns, _measured(join.words, measure, join.name_bits))
     rows = chunks.table.select("part", "chunk", F.posexplode("rows").alias("place", "row"))
     known = scratch.keep(rows.select("part", "chunk", "place", "row.*"))
-    at = F.min(F.struct("part", "chunk", "place", *PARITIES)).alias("at")
-    classes = known.where("class is not null").groupBy("class").agg(at, F.max("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
-    classes = scratch.keep(classes.select("class", "n", "rows", "first_id", "at.*"))
+    at, sure = F.min(F.struct("part", "chunk", "place", *PARITIES)).alias("at"), F.xxhash64("n", *PARITIES)
+    while True:
+        classes = known.where("class is not null").groupBy("class").agg(at, F.max("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("first_id"), F.min(sure).alias("low"), F.max(sure).alias("high"), *(F.first(c).alias(c) for c in more))
+        classes = scratch.keep(classes.select("class", "n", "rows", "first_id", "at.*", "low", "high", *more))
+        mixed = classes.where("low <> high").select("class", F.lit(True).alias("mixed"))
+        if common.is_empty(mixed):
+            break
+        # different sets of one name get names of their own
+        told_apart = known.join(mixed, "class", "left").withColumn("class", F.when(F.col("mixed"), F.xxhash64("class", sure)).otherwise(F.col("class"))).drop("mixed")
+        known = scratch.keep(told_apart.select(*known.columns))
     steps = common.Scratch(df.sparkSession, "links")
-    state = links(chunks, classes, join, steps, bucket_names)
+    state = links(chunks, classes, join, steps, bucketed(chunks, classes, join, steps))
     chunks.drop()
     if state is None:
         state = classes.select("class", F.col("class").alias("component")).limit(0)

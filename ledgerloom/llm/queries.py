@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fill_in_middle, merkle, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, fill_in_middle, merkle, minhash, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_counts.query,
     "op10_quality_rules": quality_rules.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_minhash": minhash.query,
     "op13_fill_in_middle": fill_in_middle.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_join": ngram_join.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op13_fill_in_middle": fill_in_middle.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": ngram_join.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_minhash": minhash.ORACLE_SQL, "op13_fill_in_middle": fill_in_middle.ORACLE_SQL}
