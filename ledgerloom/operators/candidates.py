@@ -3,9 +3,8 @@
 The time range is made an equi-join: the left record has its bucket of one window's width, the right record meets
 the bucket and both neighbours. So a block (a hot instrument) is spread over its buckets.
 
-Caps need an order; they apply only if the policy sets them, after the range join has shrunk the block. A block's edges are
-numbered in three levels (its time slots, the left records of a slot, the edges of a left record), so no task sorts a whole block. The edge at which a record would pass its cap stops its block; the edge at
-which the run would pass its cap stops that block and all later ones, those without edges too. Stopped blocks are incomplete.
+Caps need an order (see ``passes`` and ``reach``). A block's edges are numbered in three levels (its time slots, the left records
+of a slot, the edges of a left record), so no task sorts a whole block.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import cut
 from .policy import Matching
 
 
@@ -36,13 +34,6 @@ def edges(remaining: DataFrame, policy: Matching, rejected: DataFrame | None = N
     return out.select("left_id", "right_id", "block", "left_at", "right_at")
 
 
-def blocks(remaining: DataFrame, policy: Matching) -> DataFrame:
-    """block: the blocks that have records on both sides."""
-    held = remaining.where(" and ".join([f"{c} is not null" for c in policy.block_on] + ["executed_at is not null"]))
-    sides = held.groupBy(block_key(policy).alias("block")).agg(F.max(F.col("rec_side") == "L").alias("l"), F.max(F.col("rec_side") == "R").alias("r"))
-    return sides.where("l and r").select("block")
-
-
 def numbered(found: DataFrame, one: Column, window_seconds: int | None) -> DataFrame:
     """``found`` with ``of_left`` and ``nth``: the running sums of ``one`` over the edges of a left record, and over those of a block by (left_at, left_id, right_at, right_id)."""
 
@@ -59,27 +50,3 @@ def numbered(found: DataFrame, one: Column, window_seconds: int | None) -> DataF
     held = found.withColumn("of_left", F.sum(one).over(own)).join(starts, (F.col("block") == F.col("block_")) & (F.col("left_id") == F.col("left_")))
     return held.withColumn("nth", F.col("start") + F.col("of_left")).drop("block_", "left_", "start")
 
-
-def capped(all_: DataFrame, policy: Matching, remaining: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges within the caps, and the blocks (block) that are incomplete. ``remaining``: the records, for blocks without edges."""
-    spark = all_.sparkSession
-    if policy.record_edges is None and policy.run_edges is None:
-        return all_, spark.createDataFrame([], "block string")
-    placed = numbered(all_, F.lit(1), policy.window_seconds)
-    over = F.lit(False)
-    if policy.record_edges is not None:
-        of_right = F.row_number().over(Window.partitionBy("block", "right_id").orderBy("left_at", "left_id"))
-        placed = placed.withColumn("of_right", of_right)
-        over = F.greatest("of_left", "of_right") > policy.record_edges
-    placed = cut(placed)
-    stops = placed.groupBy("block").agg(F.min(F.when(over, F.col("nth"))).alias("stop"), F.count("*").alias("all_edges"))
-    kept = F.coalesce(F.col("stop") - 1, F.col("all_edges"))
-    stops = stops.select("block", kept.alias("kept"), (kept < F.col("all_edges")).alias("stopped"))
-    if remaining is not None:
-        stops = blocks(remaining, policy).join(stops, "block", "left").withColumn("kept", F.coalesce("kept", F.lit(0))).withColumn("stopped", F.coalesce("stopped", F.lit(False)))
-    if policy.run_edges is not None:  # a row for each block
-        before = F.coalesce(F.sum("kept").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        stops = stops.withColumn("stopped", F.col("stopped") | (before + F.col("kept") > policy.run_edges) | (before > policy.run_edges)).withColumn("kept", F.least("kept", F.greatest(F.lit(0), F.lit(policy.run_edges) - before)))
-    stops = stops.select(F.col("block").alias("block_"), F.col("kept").alias("keep"), "stopped")
-    within = placed.join(stops, F.col("block") == F.col("block_")).where(F.col("nth") <= F.col("keep")).select(*all_.columns)
-    return within, stops.where("stopped").select(F.col("block_").alias("block"))
