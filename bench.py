@@ -8,7 +8,7 @@ from pathlib import Path
 from ledgerloom.plans import catalogue as plans
 from ledgerloom.session import local_session
 
-HEADLINE = ["field_status", "preprocess", "preprocess_with_decisions", "candidate_edges", "scores", "delta_merge", "state_digests", "case_page", "import_issues", "proposals", "matched_pairs"]
+HEADLINE = ["field_status", "preprocess", "preprocess_with_decisions", "candidate_edges", "scores", "delta_merge", "state_digests", "case_page", "import_issues", "proposals", "matched_pairs", "dense_block"]
 
 
 def main() -> None:

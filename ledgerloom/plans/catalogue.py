@@ -1,6 +1,6 @@
 """All queries of the engine, and their SQL."""
 
-from . import evidence, queries
+from . import capped, evidence, queries
 
-QUERIES = queries.QUERIES | evidence.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | evidence.ORACLE_SQL
+QUERIES = queries.QUERIES | evidence.QUERIES | capped.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | evidence.ORACLE_SQL | capped.ORACLE_SQL

@@ -58,13 +58,6 @@ def candidate_partitions(spark, sf_dir):
     return generate(rest, PASSES, OPEN).blocks.select("partition_id", "reason", "n_left", "n_right")
 
 
-def capped_passes(spark, sf_dir):
-    """Blocks by reason and limit, where caps are hit and spread."""
-    rest = _aliased(references.preprocess(testbed.records(spark, sf_dir)).remaining)
-    made = generate(rest, PASSES, replace(OPEN, record_edges=4, run_edges=250_000))
-    return made.blocks.groupBy("reason", F.coalesce("limit", F.lit("COMPLETE")).alias("state")).agg(F.count("*").alias("n"))
-
-
 def edge_codes(spark, sf_dir):
     """Contradictions under both contracts, and coverage failures, of the edges of all passes."""
     rest = _aliased(references.preprocess(testbed.records(spark, sf_dir)).remaining)
@@ -246,7 +239,7 @@ def fingerprints(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    candidate_passes, candidate_partitions, capped_passes, edge_codes, alias_comparison, field_differences, time_labels, case_rows, accepted_diagnostics, allocation_evidence, link_options, related_ids, run_counters,
+    candidate_passes, candidate_partitions, edge_codes, alias_comparison, field_differences, time_labels, case_rows, accepted_diagnostics, allocation_evidence, link_options, related_ids, run_counters,
     greedy_pairs, top_candidates, revision_page, decision_timeline, decision_attention, claim_conflicts, component_digests, fingerprints,
     outcomes_by_passes, decision_verdicts, membership_problems, eligible_members,
 )}
