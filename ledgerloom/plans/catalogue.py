@@ -1,6 +1,6 @@
 """All queries of the engine, and their SQL."""
 
-from . import capped, evidence, queries
+from . import capped, evidence, queries, versions
 
-QUERIES = queries.QUERIES | evidence.QUERIES | capped.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | evidence.ORACLE_SQL | capped.ORACLE_SQL
+QUERIES = queries.QUERIES | evidence.QUERIES | capped.QUERIES | versions.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | evidence.ORACLE_SQL | capped.ORACLE_SQL | versions.ORACLE_SQL

@@ -164,13 +164,6 @@ def decision_timeline(spark, sf_dir):
     return review.timeline(history).select("decision_id", "revision", "action", "previous")
 
 
-def decision_attention(spark, sf_dir):
-    k = F.col("k")
-    recs = testbed.records(spark, sf_dir).where("rec_side = 'L'")
-    flags = recs.select((k % 3 == 0).alias("comparison_changed"), (k % 5 == 0).alias("reference_conflict"), (k % 7 != 0).alias("search_complete"))
-    return flags.groupBy(F.array_join(review.attention(), ",").alias("attention")).agg(F.count("*").alias("n"))
-
-
 def outcomes_by_passes(spark, sf_dir):
     """The engine with three passes, one of which has a window, that find together what the policy's own block finds."""
     recs = testbed.records(spark, sf_dir)
@@ -240,7 +233,7 @@ def fingerprints(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     candidate_passes, candidate_partitions, edge_codes, alias_comparison, field_differences, time_labels, case_rows, accepted_diagnostics, allocation_evidence, link_options, related_ids, run_counters,
-    greedy_pairs, top_candidates, revision_page, decision_timeline, decision_attention, claim_conflicts, component_digests, fingerprints,
+    greedy_pairs, top_candidates, revision_page, decision_timeline, claim_conflicts, component_digests, fingerprints,
     outcomes_by_passes, decision_verdicts, membership_problems, eligible_members,
 )}
 
@@ -329,7 +322,6 @@ ORACLE_SQL = {
     "revision_page": f"{_B} SELECT id, instrument FROM recs ORDER BY instrument, id LIMIT 50 OFFSET 100",
     "decision_timeline": f"""{_B}, h AS (SELECT id AS decision_id, k, CAST(unnest(range(1, CAST(k % 3 + 2 AS BIGINT))) AS INTEGER) AS revision FROM l), x AS (SELECT decision_id, revision, CASE WHEN k % 5 = 0 AND revision = k % 3 + 1 THEN 'REVOKE' WHEN revision = 1 THEN 'CREATE' ELSE 'REAFFIRM' END AS action FROM h)
  SELECT *, lag(action) OVER (PARTITION BY decision_id ORDER BY revision) AS previous FROM x""",
-    "decision_attention": f"{_B} SELECT concat_ws(',', CASE WHEN k % 3 = 0 THEN 'COMPARISON_CHANGED' END, CASE WHEN k % 5 = 0 THEN 'AUTHORITATIVE_REFERENCE_CONFLICT' END, CASE WHEN k % 7 = 0 THEN 'DIAGNOSTIC_INCOMPLETE' END) AS attention, count(*) AS n FROM l GROUP BY 1",
     "outcomes_by_passes": queries_sql["outcomes"],
     "decision_verdicts": f"""{_B}, act AS (SELECT k FROM l WHERE k % 3 = 0 AND k % 21 <> 0),
  cmd AS (SELECT 'C' || k AS command, k, CASE k % 20 WHEN 0 THEN 'REPLACE' WHEN 5 THEN 'LINK' WHEN 10 THEN 'REVOKE' ELSE 'REAFFIRM' END AS action FROM l WHERE k % 5 = 0 UNION ALL SELECT 'B' || k, k, 'LINK' FROM l WHERE k % 25 = 0),

@@ -150,13 +150,6 @@ def export_rows(spark, sf_dir):
     return review.exported(rows).select("export_view", "run_id", "case_id", "left_reference", "right_reference", "left_executed_at_utc", "left_quantity", "right_gross_amount", "left_currency")
 
 
-def decision_health(spark, sf_dir):
-    recs = testbed.records(spark, sf_dir).where("rec_side = 'L'")
-    k = F.col("k")
-    flags = recs.select("id", (k % 5 != 0).alias("endpoints_available"), F.when(k % 2 == 0, "ACCEPT_UNMATCHED").otherwise("LINK").alias("authority"), (k % 3 == 0).alias("new_candidate"), (k % 7 == 0).alias("evidence_changed"), (k % 11 == 0).alias("comparison_changed"))
-    return flags.groupBy(review.health().alias("health")).agg(F.count("*").alias("n"))
-
-
 def active_decisions(spark, sf_dir):
     recs = testbed.records(spark, sf_dir).where("rec_side = 'L'")
     k = F.col("k")
@@ -187,7 +180,7 @@ def event_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     field_status, reference_pairs, comparisons, preprocess, preprocess_with_decisions, reference_index, candidate_edges, candidate_degrees, scores, outcomes, matched_pairs, contract_problems, proposals,
-    duplicate_lines, delta_merge, operation_histogram, state_digests, case_keys, case_page, case_search, case_lineage, export_rows, decision_health, active_decisions, import_issues, event_windows,
+    duplicate_lines, delta_merge, operation_histogram, state_digests, case_keys, case_page, case_search, case_lineage, export_rows, active_decisions, import_issues, event_windows,
 )}
 
 _B = f"WITH {testbed.SQL}"
@@ -271,7 +264,6 @@ ORACLE_SQL = {
     "case_lineage": f"{_B} SELECT DISTINCT reference AS predecessor, (k % 7) || ':' || reference AS successor FROM recs WHERE reference IS NOT NULL",
     "export_rows": f"""{_PRE}, {_BOTH} SELECT 'run_facts' AS export_view, '' AS run_id, left_id || '|' || right_id AS case_id, '''=' || lref AS left_reference, rref AS right_reference,
  strftime(lt, '%Y-%m-%dT%H:%M:%S.%fZ') AS left_executed_at_utc, CAST(lq AS VARCHAR) AS left_quantity, '''-' || (ra // 100) || CASE WHEN ra % 100 = 0 THEN '' WHEN ra % 10 = 0 THEN '.' || ((ra % 100) // 10) ELSE '.' || lpad(CAST(ra % 100 AS VARCHAR), 2, '0') END AS right_gross_amount, lc AS left_currency FROM joined""",
-    "decision_health": f"{_B} SELECT CASE WHEN k % 5 = 0 THEN 'PARTNER_UNAVAILABLE' WHEN k % 6 = 0 THEN 'NEW_CANDIDATE' WHEN k % 7 = 0 OR k % 11 = 0 THEN 'EVIDENCE_CHANGED' ELSE 'UNCHANGED' END AS health, count(*) AS n FROM l GROUP BY 1",
     "active_decisions": f"{_B} SELECT id AS decision_id, CAST(k % 3 + 1 AS INTEGER) AS revision, CASE WHEN k % 3 = 0 THEN 'CREATE' ELSE 'REAFFIRM' END AS action FROM l WHERE k % 5 <> 0 AND k % 17 <> 0",
     "event_windows": "SELECT epoch_us(date_trunc('hour', CAST(ts AS TIMESTAMP))) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

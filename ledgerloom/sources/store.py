@@ -25,22 +25,37 @@ class Store:
         return self._fs.exists(self._fs_path(f"{self.path}/{name}"))
 
     def names(self, folder: str) -> list[str]:
+        """Published files (an empty one never is)."""
         where = self._fs_path(f"{self.path}/{folder}")
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(where) if f.getLen() > 0) if self._fs.exists(where) else []
 
     def read(self, name: str) -> dict:
         return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])
 
     def claim(self, name: str, held: dict) -> None:
-        """Makes the file ``name``; fails if there is one."""
+        """Makes the file ``name``; fails if there is one.
+
+        The file is written under another name and closed, then renamed without overwriting, so it is seen whole or not at all, and a writer that dies leaves nothing in
+        the way. HDFS and viewfs over it do that atomically; a local file system (tests) looks first and renames then; object stores need a committer of their own.
+        An empty file of that name can't have been published, and is replaced."""
+        jvm, target = self.spark.sparkContext._jvm, self._fs_path(f"{self.path}/{name}")
+        draft = self._fs_path(f"{self.path}/.drafts/{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(held, sort_keys=True).encode()))
+        out.close()
+        self._fs.mkdirs(target.getParent())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        empty = self._fs.exists(target) and self._fs.getFileStatus(target).getLen() == 0
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if empty else rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(target).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            out = self._fs.create(self._fs_path(f"{self.path}/{name}"), False)
+            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(target), how)
         except Py4JJavaError as error:
+            self._fs.delete(draft, False)
             if self.exists(name):
                 raise ValueError(f"{name} was published by another writer") from error
             raise
-        out.write(bytearray(json.dumps(held, sort_keys=True).encode()))
-        out.close()
 
 
 class RunFacts:

@@ -26,7 +26,12 @@ class Revisions:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/data/{self.head()['folder']}")
 
-    def publish(self, rows: DataFrame, batch: int, base: int) -> int:
+    def digests(self) -> set[str]:
+        """The digests of all revisions that have one (a short text for each revision)."""
+        heads = [self.store.read(f"heads/{name}") for name in self.store.names("heads")]
+        return {h["digest"] for h in heads if h.get("digest")}
+
+    def publish(self, rows: DataFrame, batch: int, base: int, digest: str | None = None) -> int:
         """Writes the next revision, then its head; refuses a base that is no longer the head.
 
         Each writer has a folder of its own, and a revision's head file can be made once only, so of two writers one fails."""
@@ -35,7 +40,7 @@ class Revisions:
             raise ValueError(f"revision {base} is stale; the head is {head['revision']}")
         folder = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/data/{folder}")
-        self._claim(base + 1, {"revision": base + 1, "batch": batch, "folder": folder})
+        self._claim(base + 1, {"revision": base + 1, "batch": batch, "folder": folder, "digest": digest})
         return base + 1
 
     def _claim(self, revision: int, head: dict) -> None:
