@@ -99,10 +99,15 @@ def cursor(filters: dict, key: list) -> str:
 
 
 def key_of(text: str, filters: dict) -> list:
-    held = json.loads(base64.urlsafe_b64decode(text.encode()))
-    if held.get("v") != 1 or cursor(filters, held["k"]) != text:
+    """The key in a cursor; refuses text that is no cursor, and cursors of other filters."""
+    try:
+        held = json.loads(base64.urlsafe_b64decode(text.encode()))
+        version, key = held["v"], held["k"]
+    except (ValueError, KeyError, TypeError) as error:
+        raise ValueError("the cursor is malformed") from error
+    if version != 1 or cursor(filters, key) != text:
         raise ValueError("the cursor belongs to other filters")
-    return held["k"]
+    return key
 
 
 def lineage(before: DataFrame, after: DataFrame) -> DataFrame:
