@@ -79,27 +79,38 @@ def _places(text: Column, pattern: str, group: int = 0) -> Column:
 
 def entropy_span(found: Column, alphabet: str, scan: Scan, bits: float) -> Column:
     """struct(first, last): from the first character of the first window of ``found["m"]`` whose entropy reaches
-    ``bits`` to the end of the last; first is -1 if there is none."""
+    ``bits`` to the end of the last; first is -1 if there is none.
+
+    The run is cut into symbols once; counts are a line with one character for each symbol of the alphabet, of which a step
+    writes two. So the cost is in proportion to the run's length."""
     w = scan.window
     table = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(w + 2)])
     # entropy = log2(w) - sum / w: a window passes where its sum of c*log2(c) is at most this
     most = F.lit(w * (math.log2(w) - bits) + 1e-9)
-    symbol = lambda i: F.instr(F.lit(alphabet), F.substring(found["m"], i, F.lit(1)))
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    symbols = F.transform(F.sequence(F.lit(1), F.char_length(found["m"])), lambda i: F.struct(i.alias("i"), symbol(i).alias("enters"), F.when(i > w, symbol(i - w)).otherwise(F.lit(0)).alias("leaves")))
+    start = F.struct(F.lit("0" * len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     log = lambda count: F.get(table, count)
+    count = lambda counts, symbol: F.ascii(F.substring(counts, symbol, F.lit(1))) - ord("0")
+    put = lambda counts, symbol, n: F.overlay(counts, F.char(n + ord("0")), symbol, F.lit(1))
 
     def step(acc: Column, x: Column) -> Column:
-        one = lambda b: b.cast("int")
-        came = F.get(acc["counts"], x["enters"] - 1)
-        gone = F.get(acc["counts"], F.greatest(x["leaves"] - 1, F.lit(0))) + one(x["enters"] == x["leaves"])
-        now = acc["sum"] + log(came + 1) - log(came) + F.when(x["leaves"] > 0, log(gone - 1) - log(gone)).otherwise(F.lit(0.0))
-        counts = F.transform(acc["counts"], lambda v, j: v + one(j == x["enters"] - 1) - one(j == x["leaves"] - 1))
+        came = count(acc["counts"], x["enters"])
+        with_it = put(acc["counts"], x["enters"], came + 1)
+        gone = count(with_it, x["leaves"])
+        left = x["leaves"] > 0
+        now = acc["sum"] + log(came + 1) - log(came) + F.when(left, log(gone - 1) - log(gone)).otherwise(F.lit(0.0))
+        counts = F.when(left, put(with_it, x["leaves"], gone - 1)).otherwise(with_it)
         passes = (x["i"] >= w) & (now <= most)
         first = F.when((acc["first"] < 0) & passes, x["i"] - w).otherwise(acc["first"])
         return F.struct(counts.alias("counts"), now.alias("sum"), first.alias("first"), F.when(passes, x["i"]).otherwise(acc["last"]).alias("last"))
 
-    return F.aggregate(symbols, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def scanned(symbols: Column) -> Column:
+        left = F.slice(F.concat(F.array_repeat(F.lit(0), w), symbols), F.lit(1), F.size(symbols))
+        pairs = F.zip_with(symbols, left, lambda enters, leaves: F.struct(enters.alias("enters"), leaves.alias("leaves")))
+        steps = F.transform(pairs, lambda x, i: F.struct((i + 1).alias("i"), x["enters"].alias("enters"), x["leaves"].alias("leaves")))
+        return F.aggregate(steps, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    symbols = F.transform(F.regexp_extract_all(found["m"], F.lit("."), F.lit(0)), lambda x: F.instr(F.lit(alphabet), x))
+    return F.get(F.transform(F.array(symbols), scanned), F.lit(0))  # an array of one, so that the symbols are made once
 
 
 def _added(text: Column, scan: Scan) -> Column:

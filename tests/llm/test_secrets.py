@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from ledgerloom.llm import secrets
 
@@ -60,3 +62,18 @@ def test_made_up(spark, odd, none):
     assert secrets.apply(none).count() == 0
     held = secrets.apply(spark.createDataFrame([(1, texts[6])], "doc_id bigint, text string")).first()
     assert "entropy:3:27" in held["spans"] and held["n_entropy"] == 1
+
+
+def test_very_long_runs(spark):
+    """The same spans as window by window, and time in proportion to the run's length."""
+    draw = random.Random(4)
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = lambda n: "".join(draw.choices("aab1", k=50)) + "".join(draw.choices(wide, k=n)) + "".join(draw.choices("xy", k=60))
+    compare(spark.createDataFrame([(1, run(60_000)), (2, "0123456789abcdef" * 2_000), (3, "a" * 100_000 + "1")], "doc_id bigint, text string"))
+    took = []
+    for n in (1_000, 1_000_000):
+        df = spark.createDataFrame([(1, run(n))], "doc_id bigint, text string")
+        began = time.perf_counter()
+        assert secrets.apply(df).first()["n_entropy"] == 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30, took
