@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_engine import SCHEMA, record
 
-from ledgerloom.operators import assign, commands, engine, memberships, review
+from ledgerloom.operators import assign, commands, engine, health, memberships, review
 from ledgerloom.operators.passes import Pass
 from ledgerloom.operators.policy import Matching
 from ledgerloom.sources import contract, store
@@ -47,6 +47,31 @@ def test_commands(spark):
     assert commands.judged(empty, records, history, none, 7).count() == 0
 
 
+def test_stale_evidence_is_refused(spark):
+    """A command is judged against the records its reviewer saw; what takes effect keeps the digest of those it was made on."""
+    observed = lambda amount: spark.createDataFrame([("L1", "L1@1", amount, None), ("R1", "R1@1", "f", "T"), ("L2", "L2@1", "f", None), ("R2", "R2@1", "f", None)], "logical_id string, observation_id string, fingerprint string, reference string")
+    ends = spark.createDataFrame([("p", "LINK", "L1", "R1"), ("q", "LINK", "L2", "R2")], "decision_id string, authority string, left_id string, right_id string")
+    digests = lambda amount: {r["decision_id"]: r["digest"] for r in health.gathered(ends, observed(amount)).collect()}
+    seen, now = digests("old"), digests("new")
+    assert seen["q"] == now["q"] and seen["p"] != now["p"]
+    history = spark.createDataFrame([("D1", 1, "LINK", "LINK", "L2", "R2")], HISTORY)
+
+    def verdicts(*sent):
+        rows = [(n, 7, action, "LINK" if left else None, left, right, target, 1 if target else None, None, digest) for n, action, left, right, target, digest in sent]
+        return commands.judged(spark.createDataFrame(rows, COMMANDS + ", seen string"), spark.createDataFrame([("L1",), ("L2",), ("R1",), ("R2",)], "id string"), history, spark.createDataFrame([], "decision_id string"), 7, observed("new"))
+
+    def codes(*sent):
+        return [r["code"] for r in verdicts(*sent).orderBy("command").collect()]
+
+    assert codes(("a", "LINK", "L1", "R1", None, seen["p"]), ("b", "REAFFIRM", None, None, "D1", seen["q"])) == ["STALE_EVIDENCE", None]
+    assert codes(("a", "LINK", "L1", "R1", None, now["p"]), ("b", "REAFFIRM", None, None, "D1", now["p"])) == [None, "STALE_EVIDENCE"]
+    assert codes(("a", "LINK", "L1", "R1", None, None), ("b", "REVOKE", None, None, "D1", now["p"])) == [None, None]  # not told; nothing is decided on records
+    # what can't take effect anyway comes first; a stale command doesn't stand in the way of another
+    assert codes(("a", "LINK", "L1", "R9", None, "x"), ("b", "LINK", "L1", "R1", None, seen["p"]), ("c", "LINK", "L1", "R1", None, now["p"])) == ["UNKNOWN_RECORD", "STALE_EVIDENCE", None]
+    new, _ = commands.applied(verdicts(("a", "LINK", "L1", "R1", None, now["p"]), ("b", "REVOKE", None, None, "D1", None)))
+    assert {r["decision_id"]: r["reviewed"] for r in new.collect()} == {"a": now["p"], "D1": None}
+
+
 def test_stores(spark, tmp_path):
     one = spark.createDataFrame([(1, Decimal("2.50"))], "id int, amount decimal(9,2)")
     facts = RunFacts(spark, f"{tmp_path}/facts")
