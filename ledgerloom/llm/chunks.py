@@ -80,12 +80,16 @@ class Chunks:
         self.table = spark.table(self.name)
 
     def told(self, what: DataFrame, how: str = "left") -> DataFrame:
-        """The table with ``told``: the rows of ``what`` (part, chunk, others) for each chunk, dealt out as the chunks are, which stay where they are."""
+        """The table with ``told``: the rows of ``what`` (part, chunk, others) for each chunk, dealt out as the chunks are, which stay where they are.
+
+        Rows are gathered for each chunk, not for its part, so no value grows with a part. They are dealt out by part alone, which the grouping
+        by part and chunk accepts; the chunk is no key of the join, which would move the texts, but a condition on what the part holds."""
         others = [c for c in what.columns if c != "part"]
-        dealt = what.withColumnRenamed("part", "part_").repartition(self.parts, "part_").groupBy("part_").agg(F.collect_list(F.struct(*others)).alias("told"))
-        out = self.table.join(dealt.hint("shuffle_hash"), F.col("part") == F.col("part_"), how).drop("part_")
-        out = out.withColumn("told", F.filter("told", lambda t: t["chunk"] == F.col("chunk")))
-        return out.where(F.size("told") > 0) if how == "inner" else out
+        dealt = what.withColumnsRenamed({"part": "part_"}).repartition(self.parts, "part_")
+        dealt = dealt.groupBy("part_", F.col("chunk").alias("chunk_")).agg(F.collect_list(F.struct(*others)).alias("told"))
+        own = (F.col("part") == F.col("part_")) & (F.col("chunk") - F.col("chunk_") == 0)
+        out = self.table.join(dealt.hint("shuffle_hash"), own, how).drop("part_", "chunk_")
+        return out if how == "inner" else out.withColumn("told", F.coalesce("told", F.array().cast(out.schema["told"].dataType)))
 
     def drop(self) -> None:
         common.dropped(self.spark, self.name)
