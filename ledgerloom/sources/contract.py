@@ -66,30 +66,30 @@ def _trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def _cells(raw: DataFrame, contract: Contract, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """states (VALUE, MISSING, NULL, EMPTY) and texts (trimmed, null unless they are values): arrays over ``fields``.
+def _cells(raw: DataFrame, contract: Contract, fields: tuple[str, ...] = FIELDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep``, states (VALUE, MISSING, NULL, EMPTY) and texts (trimmed, null unless they are values): arrays over ``fields``.
 
     Cells are handled as one array, so the plan holds each rule once and not once for each field."""
     cells = []
     for name in fields:
         bound = contract.bindings.get(name)
         cells.append(F.lit(contract.constants[name]) if name in contract.constants else F.col(f"`{bound}`").cast("string") if bound in raw.columns else F.lit(None).cast("string"))
-    held = raw.select(F.array(*cells).alias("cells")).select("cells", F.transform("cells", _trimmed).alias("trims"))
+    held = raw.select(*keep, F.array(*cells).alias("cells")).select(*keep, "cells", F.transform("cells", _trimmed).alias("trims"))
 
     def state(cell: Column, trim: Column) -> Column:
         nulls = cell.isin(*contract.null_tokens) if contract.null_tokens else F.lit(False)
         return F.when(cell.isNull(), "MISSING").when(nulls, "NULL").when(trim == "", "EMPTY").otherwise("VALUE")
 
-    held = held.select("trims", F.zip_with("cells", "trims", state).alias("states"))
-    return held.select("states", F.zip_with("states", "trims", lambda s, t: F.when(s == "VALUE", t)).alias("texts"))
+    held = held.select(*keep, "trims", F.zip_with("cells", "trims", state).alias("states"))
+    return held.select(*keep, "states", F.zip_with("states", "trims", lambda s, t: F.when(s == "VALUE", t)).alias("texts"))
 
 
-def _parsed(held: DataFrame, contract: Contract) -> DataFrame:
+def _parsed(held: DataFrame, contract: Contract, keep: tuple[str, ...]) -> DataFrame:
     """Adds ``numbers`` (struct of value and code for each of ``NUMBER``), value_f of the other fields, state_f and text_f."""
     at = {f: i for i, f in enumerate(FIELDS)}
     plain = F.transform(F.array(*[F.col("texts")[at[f]] for f in NUMBER]), lambda t: F.regexp_replace(t, r"(?<=[0-9])_(?=[0-9])", ""))
     held = held.select("*", plain.alias("plain")).select("*", F.transform("plain", _number).alias("parts"))
-    held = held.select("states", "texts", F.transform("parts", lambda p: F.struct(p["value"].alias("value"), _number_code(p).alias("code"))).alias("numbers"))
+    held = held.select(*keep, "states", "texts", F.transform("parts", lambda p: F.struct(p["value"].alias("value"), _number_code(p).alias("code"))).alias("numbers"))
     values = []
     for name in FIELDS:
         text = value = F.col("texts")[at[name]]
@@ -103,7 +103,7 @@ def _parsed(held: DataFrame, contract: Contract) -> DataFrame:
             value = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(text))
         state = F.lit("VALUE") if name in contract.constants else F.col("states")[at[name]]
         values += [value.alias(f"value_{name}"), text.alias(f"text_{name}"), state.alias(f"state_{name}")]
-    return held.select("numbers", *values)
+    return held.select(*keep, "numbers", *values)
 
 
 def _instants(held: DataFrame, zone: str) -> DataFrame:
@@ -132,14 +132,17 @@ def _number_code(part: Column) -> Column:
     return F.when(part["odd"], "NON_FINITE_DECIMAL").when(~part["fine"], "INVALID_DECIMAL").when(part["value"].isNull() | (part["decimals"] > 12), "UNSUPPORTED_PRECISION").when(part["value"] < 0, "NEGATIVE_VALUE")
 
 
-def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
+def interpreted(raw: DataFrame, contract: Contract, keep: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """Canonical columns, ``issues`` (array of field:CODE, sorted) and ``eligible`` for each raw row (text columns).
 
     A missing column, a null token, an empty cell and a value are told apart. A row keeps all its issues. RETRACT
     rows need a key only; a CANCEL row's state must be CANCELLED. Every holder of a key that occurs twice is marked. Negative
     amounts are an issue of the row, and so are numbers of more than 12 decimals or of 17 or more digits before the point,
-    beyond which scores would not be exact."""
-    held = _parsed(_cells(raw, contract), contract)
+    beyond which scores would not be exact.
+
+    ``keep``: columns of ``raw`` that are handed on, ahead of the others; none may have the name of a canonical column. ``within``: those of them (never null) in which a
+    key may occur once, such as its file."""
+    held = _parsed(_cells(raw, contract, keep=keep), contract, keep)
     if contract.time_format:
         held = _instants(held, contract.zone)
     columns, issues = [], []
@@ -160,19 +163,19 @@ def interpreted(raw: DataFrame, contract: Contract) -> DataFrame:
             code = F.coalesce(code, found)
         columns.append(value.alias(f"found_{name}"))
         issues.append(code.alias(f"code_{name}"))
-    held = held.select(*columns, *issues)
-    out = held.select(*[F.when(F.col(f"code_{f}").isNull(), F.col(f"found_{f}")).alias(f) for f in FIELDS], *[F.concat(F.lit(f"{f}:"), F.col(f"code_{f}")).alias(f"issue_{f}") for f in FIELDS])
+    held = held.select(*keep, *columns, *issues)
+    out = held.select(*keep, *[F.when(F.col(f"code_{f}").isNull(), F.col(f"found_{f}")).alias(f) for f in FIELDS], *[F.concat(F.lit(f"{f}:"), F.col(f"code_{f}")).alias(f"issue_{f}") for f in FIELDS])
     # holders of a key that occurs twice; rows without a key get one of their own, which spreads them and keeps filters above the parsing
     own = F.coalesce("source_record_key", F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
     out = out.withColumn("own_", own)
-    keys = _cells(raw, contract, ("source_record_key",)).select(F.coalesce(F.col("texts")[0], F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))).alias("key_"))
-    twice = keys.groupBy("key_").agg(F.count("*").alias("n_")).where("n_ > 1").select("key_")
-    out = out.join(twice, F.col("own_") == F.col("key_"), "left")
+    keys = _cells(raw, contract, ("source_record_key",), within).select(*[F.col(c).alias(f"in_{c}") for c in within], F.coalesce(F.col("texts")[0], F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))).alias("key_"))
+    twice = keys.groupBy("key_", *[f"in_{c}" for c in within]).agg(F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+    out = out.join(twice, [F.col("own_") == F.col("key_"), *[F.col(c) == F.col(f"in_{c}") for c in within]], "left")
     retract = F.coalesce(F.col("operation") == "RETRACT", F.lit(False))
     all_ = F.array(*[F.col(f"issue_{f}") for f in FIELDS])
     cancel = F.when((F.col("operation") == "CANCEL") & (F.col("state") != "CANCELLED"), F.lit("state:CANCEL_REQUIRES_CANCELLED"))
     again = F.when(F.col("key_").isNotNull(), F.lit("source_record_key:DUPLICATE_SOURCE_KEY"))
     key_only = F.array("issue_source_record_key", "issue_operation")
     found = F.array_sort(F.array_compact(F.concat(F.when(retract, key_only).otherwise(F.array_append(all_, cancel)), F.array(again))))
-    out = out.select(*FIELDS, found.alias("issues"))
+    out = out.select(*keep, *FIELDS, found.alias("issues"))
     return out.withColumn("eligible", (F.size("issues") == 0) & ~F.coalesce(F.col("operation") == "RETRACT", F.lit(False)) & (F.coalesce("state", F.lit("")) != "CANCELLED"))

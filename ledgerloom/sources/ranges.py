@@ -36,7 +36,7 @@ _PIECES = "path string, block long, kind string, n long, cells array<string>, te
 
 @dataclass(frozen=True)
 class Scan:
-    """files: path, n_bytes, sha256, header, n_rows, n_columns (of the widest row), failure. rows: path, row_number (from 2), cells, of files without a failure."""
+    """files: path, n_bytes, sha256, header, n_rows, n_columns (of the widest row), failure (with one, header and counts are null). rows: path, row_number (from 2), cells, of files without a failure."""
 
     files: DataFrame
     rows: DataFrame
@@ -267,7 +267,8 @@ def scan(spark: SparkSession, path: str, delimiter: str = ",", limits: Limits =
         F.when(passed_over, at("FIELD_TOO_LONG")), F.when(F.col("n").isNull() & ~passed_over, at("EMPTY_FILE")),
     )
     failure = F.get(F.lit(list(FAILURES)), least.cast("int") - 1)
-    files = files.select("path", "n_bytes", "sha256", "header", n_rows.alias("n_rows"), F.coalesce("n_columns", F.lit(0)).alias("n_columns"), failure.alias("failure"))
-    files = cut(files)
+    files = files.select("path", "n_bytes", "sha256", "header", n_rows.alias("n_rows"), "n_columns", failure.alias("failure"))
+    # what could be read of a file that fails depends on how its ranges fall
+    files = cut(files.select("path", "n_bytes", "sha256", *[F.when(F.col("failure").isNull(), F.col(c)).alias(c) for c in ("header", "n_rows", "n_columns")], "failure"))
     numbered = records.join(offsets, ["path", "block"]).select("path", (F.col("offset") + F.col("n") + 1).alias("row_number"), "cells").where("row_number > 1")
     return Scan(files, numbered.join(files.where("failure is null").select("path"), "path", "left_semi"))

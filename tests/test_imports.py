@@ -5,8 +5,9 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.sources import delimited, ranges
+from ledgerloom.sources import contract, delimited, imports, ranges
 
 
 @pytest.fixture
@@ -90,3 +91,46 @@ def test_failures_of_files(spark, tmp_path, small_ranges):
     folder = tmp_path / "tabs"
     folder.mkdir()
     compare(spark, folder, {"t": b'x\ty\n"1\n2"\t,\n', "u": b'x;y\n1;"2;3"\n'}, limits, "\t")
+
+
+HEAD = "trade_id,traded_at,instrument,side,quantity,price,gross_amount,state"
+
+
+def test_import_as_one_path(spark, tmp_path, small_ranges):
+    """Each code of files, headers and rows through one function; columns in another order; a key in two files."""
+    small_ranges(100)
+    row = lambda k, **c: ",".join({"trade_id": k, "traded_at": "2026-09-07T12:00:00Z", "instrument": "BTC", "side": "BUY", "quantity": "2", "price": "1", "gross_amount": "2", "state": "SETTLED", **c}.values())
+    files = {
+        "good": "\n".join([HEAD, row("a"), row("b", quantity="NaN"), row("twice"), row("twice", side="HOLD"), row("c") + ",more,", "d", "", row("e", instrument='"B\nTC"'), row("f", instrument="-"), row("g", instrument=" ")]),
+        "again": "\n".join([HEAD, row("a")]), "turned": "\n".join(["note,state,gross_amount,price,quantity,side,instrument,traded_at,trade_id", 'x,SETTLED,2,1,2,SELL,ETH,2026-09-07T12:00:00Z,"t"']),
+        "double": "\n".join([f"{HEAD},side,,", row("h")]), "lacks": "\n".join([HEAD.replace(",price", ",cost"), row("i")]), "header-only": HEAD, "broken": f'{HEAD}\n"x"y', "bytes": HEAD + "\n\udcff",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode("utf-8", "surrogateescape"))
+    held = contract.Contract(**{**contract.ledger().__dict__, "null_tokens": ("-",)})
+    got = imports.read(spark, str(tmp_path), held)
+    name = lambda r: r["path"].rsplit("/", 1)[1]
+    states = {name(r): (r["state"], r["failure"], ",".join(r["header_issues"]), r["n_rows"], r["n_issues"], r["n_bad"], r["n_eligible"]) for r in got.files.collect()}
+    lacking = ",".join(f"{c}:MISSING_VALUE" for c in ("executed_at", "gross_amount", "instrument", "quantity", "side", "state", "unit_price"))
+    want = {
+        2: ("a", ""), 3: ("b", "quantity:NON_FINITE_DECIMAL"), 4: ("twice", "source_record_key:DUPLICATE_SOURCE_KEY"), 5: ("twice", "side:UNKNOWN_ENUM,source_record_key:DUPLICATE_SOURCE_KEY"), 6: ("c", "_row:UNEXPECTED_COLUMN"), 7: ("d", lacking),
+        8: (None, ",".join(sorted([*lacking.split(","), "source_record_key:MISSING_VALUE"]))), 9: ("e", ""), 10: ("f", "instrument:NULL_VALUE"), 11: ("g", "instrument:EMPTY_VALUE"),
+    }
+    rows = {(name(r), r["row_number"]): r for r in got.rows.collect()}
+    assert {k[1]: (r["source_record_key"], ",".join(r["issues"])) for k, r in rows.items() if k[0] == "good"} == want
+    n_issues = sum(len(codes.split(",")) for _, codes in want.values() if codes)
+    assert states == {
+        "good": ("READ", None, "", 10, n_issues, 8, 2), "again": ("READ", None, "", 1, 0, 0, 1), "turned": ("READ", None, "", 1, 0, 0, 1), "header-only": ("READ", None, "", 0, 0, 0, 0),
+        "double": ("BLOCKED", None, "_header:DUPLICATE_HEADER,side:DUPLICATE_HEADER", 1, 2, 0, 0), "lacks": ("BLOCKED", None, "price:MISSING_COLUMN", 1, 1, 0, 0),
+        "broken": ("QUARANTINED", "MALFORMED_CSV", "", None, 0, 0, 0), "bytes": ("QUARANTINED", "INVALID_ENCODING", "", None, 0, 0, 0),
+    }
+    assert {k[0] for k in rows} == {"good", "again", "turned", "double", "lacks"}
+    blocked = rows["lacks", 2]
+    assert (blocked["source_record_key"], blocked["issues"], blocked["eligible"], blocked["raw"][0]["original"]) == (None, [], False, "i")
+    kinds = lambda n: [(c["column"], c["kind"], c["original"]) for c in rows["good", n]["raw"]]
+    assert kinds(6)[7:] == [("state", "VALUE", "SETTLED"), ("__extra_1", "VALUE", "more"), ("__extra_2", "EMPTY", "")] and kinds(7)[:2] == [("trade_id", "VALUE", "d"), ("traded_at", "MISSING", None)]
+    assert kinds(10)[2] == ("instrument", "NULL", "-") and kinds(11)[2] == ("instrument", "EMPTY", " ") and kinds(9)[2] == ("instrument", "VALUE", "B\nTC")
+    assert (rows["turned", 2]["source_record_key"], rows["turned", 2]["side"], rows["turned", 2]["instrument"]) == ("t", "SELL", "ETH")
+    back = {(name(r), r["row_number"]): list(r["cells"]) for r in got.rows.select("path", "row_number", imports.original(F.col("raw")).alias("cells")).collect()}
+    for f in ("good", "double"):
+        assert [back[f, i + 2] for i in range(len(back)) if (f, i + 2) in back] == list(csv.reader(io.StringIO(files[f], newline="")))[1:]
