@@ -13,8 +13,8 @@ from ..operators.components import cut
 from ..sources import contract, delimited, imports
 from . import testbed
 
-#: A file holds the records of so many keys.
-KEYS = 2000
+#: A file holds the records of so many keys: few of the first ten files, more of the others.
+FEW, MANY = 300, 20_000
 LIMITS = delimited.Limits(most_bytes=1 << 30, most_rows=1_000_000, most_columns=20, most_characters=64)
 HEAD = "trade_id,traded_at,instrument,side,quantity,price,gross_amount,state"
 
@@ -26,20 +26,20 @@ def _folder(spark, name: str) -> str:
 
 
 def written(spark, sf_dir: str) -> str:
-    """A folder with a file for every ``KEYS`` keys of the left side, in order of keys, behind a header.
+    """A folder of files with the records of the left side, in order of keys, each behind a header.
 
     Of five files in turn one is sound, one lacks a column, one has text after a closing quote, one is sound, and one has a field that is too long, each of
-    the latter two in the rows whose key leaves 100 by 1001. Instruments are quoted and hold a line end for every 11th key; every 59th row has a cell too many."""
+    the latter two where a key leaves 100 by 300. Instruments are quoted and hold a line end for every 11th key; every 59th row has a cell too many."""
     recs = testbed.records(spark, sf_dir).where("rec_side = 'L'")
     k = F.col("k")
     turn = F.pmod(F.col("file"), F.lit(5))
-    quoted = F.concat(F.lit('"'), F.when(k % 11 == 0, F.lit("\n")).otherwise(F.lit(" ")), F.col("instrument"), F.lit('"'))
-    odd = F.when((turn == 2) & (k % 1001 == 100), F.lit("x")).when((turn == 4) & (k % 1001 == 100), F.lit("y" * 65)).otherwise(F.lit(""))
+    odd = k % FEW == 100
+    quoted = F.concat(F.lit('"'), F.when(k % 11 == 0, F.lit("\n")).otherwise(F.lit(" ")), F.col("instrument"), F.when((turn == 4) & odd, F.lit("y" * 65)).otherwise(F.lit("")), F.lit('"'), F.when((turn == 2) & odd, F.lit("x")).otherwise(F.lit("")))
     cells = [
-        F.when(k % 29 == 0, F.lit("K")).otherwise(F.col("id")), F.when(k % 31 == 0, F.lit("soon")).otherwise(exact.instant_of(F.col("executed_at"))), F.concat(quoted, odd), F.when(k % 37 == 0, F.lit("HOLD")).otherwise(F.col("side")),
+        F.when(k % 29 == 0, F.lit("K")).otherwise(F.col("id")), F.when(k % 31 == 0, F.lit("soon")).otherwise(exact.instant_of(F.col("executed_at"))), quoted, F.when(k % 37 == 0, F.lit("HOLD")).otherwise(F.col("side")),
         F.when(k % 41 == 0, F.lit("NaN")).otherwise(exact.text_of(F.col("quantity"))), F.when(k % 47 == 0, F.lit("")).otherwise(F.lit("1.5")), exact.text_of(F.col("gross_amount")), F.concat("state", F.when(k % 59 == 0, F.lit(",more")).otherwise(F.lit(""))),
     ]
-    lines = recs.withColumn("file", F.floor(k / KEYS)).select("file", "k", F.concat_ws(",", *cells).alias("value"))
+    lines = recs.withColumn("file", F.when(k < 10 * FEW, F.floor(k / FEW)).otherwise(10 + F.floor(k / MANY))).select("file", "k", F.concat_ws(",", *cells).alias("value"))
     head = F.when(turn == 1, F.lit(HEAD.replace("price", "cost"))).otherwise(F.lit(HEAD))
     heads = lines.select("file").distinct().select("file", F.lit(-1).cast("bigint").alias("k"), head.alias("value"))
     path = _folder(spark, "imports")
@@ -72,9 +72,9 @@ def import_rows(spark, sf_dir) -> DataFrame:
 
 QUERIES = {"import_files": import_files, "import_rows": import_rows}
 
-_CTE = f"""WITH {testbed.SQL}, named AS (SELECT *, k // {KEYS} AS file, (k // {KEYS}) % 5 AS turn, CASE WHEN k % 29 = 0 THEN 'K' ELSE id END AS key FROM l),
+_CTE = f"""WITH {testbed.SQL}, named AS (SELECT *, file % 5 AS turn, CASE WHEN k % 29 = 0 THEN 'K' ELSE id END AS key FROM (SELECT *, CASE WHEN k < {10 * FEW} THEN k // {FEW} ELSE 10 + k // {MANY} END AS file FROM l)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k) + 1 AS row_number, count(*) OVER (PARTITION BY file, key) > 1 AS again FROM named),
-failed AS (SELECT file, CASE WHEN bool_or(turn = 2 AND k % 1001 = 100) THEN 'MALFORMED_CSV' WHEN bool_or(turn = 4 AND k % 1001 = 100) THEN 'FIELD_TOO_LONG' END AS failure, any_value(turn) AS turn, count(*) AS n_rows,
+failed AS (SELECT file, CASE WHEN bool_or(turn = 2 AND k % {FEW} = 100) THEN 'MALFORMED_CSV' WHEN bool_or(turn = 4 AND k % {FEW} = 100) THEN 'FIELD_TOO_LONG' END AS failure, any_value(turn) AS turn, count(*) AS n_rows,
  CASE WHEN bool_or(k % 59 = 0) THEN 9 ELSE 8 END AS n_columns FROM placed GROUP BY file),
 codes AS (SELECT p.*, CASE WHEN p.turn = 1 THEN [] ELSE [x FOR x IN [CASE WHEN k % 59 = 0 THEN '_row:UNEXPECTED_COLUMN' END, CASE WHEN k % 31 = 0 THEN 'executed_at:INVALID_DATETIME' END, CASE WHEN k % 41 = 0 THEN 'quantity:NON_FINITE_DECIMAL' END,
  CASE WHEN k % 37 = 0 THEN 'side:UNKNOWN_ENUM' END, CASE WHEN again THEN 'source_record_key:DUPLICATE_SOURCE_KEY' END, CASE WHEN k % 47 = 0 THEN 'unit_price:EMPTY_VALUE' END] IF x IS NOT NULL] END AS issues
